@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import leak, survivor
+from lexquarry.llm import encode, leak, survivor
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
@@ -23,6 +23,10 @@ def p6_truth(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.p6_truth(read_table(spark, folder, "raw_result"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encode(read_table(spark, folder, "documents"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_item"))
 
@@ -30,6 +34,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_truth": p6_truth,
+    "p7_ids": p7_ids,
     "p8_found": p8_found,
 }
 
