@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import encode, leak, survivor
+from lexquarry.llm import encode, leak, near, survivor
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_pairs(near.texts_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_groups(near.texts_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return survivor.p6_found(read_table(spark, folder, "raw_result"), read_table(spark, folder, "provider_trust"))
@@ -32,6 +40,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p6_found": p6_found,
     "p6_truth": p6_truth,
     "p7_ids": p7_ids,
