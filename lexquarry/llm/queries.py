@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import encode, leak, near, survivor
+from lexquarry.llm import cutoff, encode, leak, near, survivor
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cutoff.cut_values(cutoff.values_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    raw, evidence = read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")
+    return cutoff.cut_rates(raw, evidence, read_table(spark, folder, "research_source"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_pairs(near.texts_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
 
@@ -40,6 +49,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p6_found": p6_found,
