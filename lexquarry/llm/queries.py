@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import cutoff, encode, leak, near, survivor
+from lexquarry.llm import canonical, cutoff, encode, leak, near, survivor
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
@@ -30,6 +30,18 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_groups(near.texts_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
 
 
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.typed_values(*(read_table(spark, folder, t) for t in ("evidence_candidate", "gap_item", "legal_citation")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.map_values(_typed(spark, folder), read_table(spark, folder, "canonical_value"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.mapping_report(_typed(spark, folder), read_table(spark, folder, "canonical_value"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return survivor.p6_found(read_table(spark, folder, "raw_result"), read_table(spark, folder, "provider_trust"))
@@ -53,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_truth": p6_truth,
     "p7_ids": p7_ids,
