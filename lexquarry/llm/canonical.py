@@ -209,5 +209,5 @@ def mapping_report(values: DataFrame, reference: DataFrame) -> DataFrame:
     """Of each field: distinct typed values, those mapped and those without an entry."""
     mapped = map_values(values, reference)
     return mapped.groupBy("field_name").agg(
-        F.count(F.lit(1)).alias("n_values"), F.count_if("canon_value <> ''").alias("n_mapped"), F.count_if("canon_value = ''").alias("n_unmatched")
+        F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("canon_value") != "").alias("n_mapped"), F.count_if(F.col("canon_value") == "").alias("n_unmatched")
     )

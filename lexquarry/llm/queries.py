@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import canonical, cutoff, encode, leak, near, survivor
+from lexquarry.llm import canonical, cutoff, encode, leak, near, survivor, variants
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variant_pairs(variants.names_of(read_table(spark, folder, "legal_citation")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cutoff.cut_values(cutoff.values_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
 
@@ -61,6 +65,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
