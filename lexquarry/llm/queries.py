@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import canonical, cutoff, encode, leak, near, survivor, variants
+from lexquarry.llm import canonical, cutoff, encode, leak, near, spans, survivor, variants
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "evidence").selectExpr("evidence_id AS id", "verbatim_quote AS text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.sharing_ids(_quotes(spark, folder)).withColumnRenamed("id", "evidence_id")
+
+
+def p1_spans(spark: SparkSession, folder: str) -> DataFrame:
+    amounts = spans.shared_amount(_quotes(spark, folder)).withColumnRenamed("id", "evidence_id")
+    return amounts.select("evidence_id", "size", "shared_chars", "shared_rate")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_pairs(variants.names_of(read_table(spark, folder, "legal_citation")))
 
@@ -65,6 +78,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_spans": p1_spans,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
