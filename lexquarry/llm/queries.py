@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm import canonical, cutoff, encode, leak, near, spans, survivor, variants
+from lexquarry.llm import abuse, canonical, cutoff, encode, leak, near, spans, survivor, variants
 from lexquarry.session import prepare
 from lexquarry.sources.tables import read_table
 
@@ -77,6 +77,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_item"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.to_review(read_table(spark, folder, "documents"), read_table(spark, folder, "doc_label"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.source_rates(read_table(spark, folder, "documents"), read_table(spark, folder, "doc_label"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_spans": p1_spans,
@@ -91,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "p6_truth": p6_truth,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
 
 ORACLES: dict[str, str] = {
