@@ -1 +1,131 @@
-"""Queries."""
+"""Queries over the texts of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lexquarry.functions import text as T
+from lexquarry.operators import passages
+from lexquarry.plans.registry import query
+from lexquarry.sources.tables import read_table
+
+ISSUES = ["cess", "covenant", "escrow", "tariff", "mortgage", "subsidy"]
+
+
+@query(
+    "normalize_text",
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([\p{L}\p{N}\p{M}_])-\n([\p{L}\p{N}\p{M}_])', '\1\2', 'g'), '[ \t]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12))),
+  lambda x: NOT regexp_matches(x, '(?i)^(?:page )?[0-9]+(?: of [0-9]+)?$|^- ?[0-9]+ ?-$')) AS lines FROM a),
+c AS (SELECT doc_id, trim(regexp_replace(array_to_string(lines, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13) || chr(12)) AS norm FROM b)
+SELECT doc_id, norm, sha256(norm) AS content_hash FROM c""",
+)
+def _normalize(spark, d):
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", T.normalise_text(F.col("text")).alias("norm"))
+    return docs.withColumn("content_hash", T.content_hash(F.col("norm")))
+
+
+@query("nfkc_text")
+def _nfkc(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", T.nfkc("text").alias("norm"))
+
+
+@query(
+    "content_dedup",
+    "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
+)
+def _dedup(spark, d):
+    docs = read_table(spark, d, "documents").where("text is not null").groupBy(T.content_hash(F.col("text")).alias("content_hash"))
+    return docs.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("passages")
+def _passages(spark, d):
+    spans = T.spans_of(read_table(spark, d, "documents"), "doc_id", "text", T.cut_passages, 2000)
+    return spans.select("doc_id", "span_no", "start", "end", F.sha1("span").alias("hash"))
+
+
+@query(
+    "passages_lossless",
+    "SELECT doc_id, sha256(text) AS hash FROM documents WHERE length(text) > 0",
+)
+def _lossless(spark, d):
+    spans = T.spans_of(read_table(spark, d, "documents"), "doc_id", "text", T.cut_passages, 2000)
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "span_no", "span")))
+    return spans.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["span"]), ""), 256).alias("hash"))
+
+
+@query("chunks")
+def _chunks(spark, d):
+    spans = T.spans_of(read_table(spark, d, "documents"), "doc_id", "text", T.cut_chunks, 2000, 100)
+    return spans.select("doc_id", "span_no", "start", "end", F.sha1("span").alias("hash"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+
+
+@query(
+    "token_counts",
+    f"""WITH t AS (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: NOT list_contains({_STOP}, w))) AS term FROM documents)
+SELECT term, count(*) AS n FROM t GROUP BY term""",
+)
+def _tokens(spark, d):
+    return read_table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "issue_idf",
+    f"""WITH t AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: list_contains({ISSUES!r}, w))) AS term FROM documents),
+n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL)
+SELECT term, count(*) AS df, CAST(round(1000 * ln(1 + any_value(n.n) / (1 + count(*)))) AS BIGINT) AS idf_1000 FROM t, n GROUP BY term""",
+)
+def _idf(spark, d):
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    words = docs.select("doc_id", F.explode("t").alias("term")).where(F.col("term").isin(ISSUES)).distinct()
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(total).select("term", "df", F.round(1000 * F.log(1 + F.col("total") / (1 + F.col("df")))).cast("long").alias("idf_1000"))  # one row
+
+
+@query(
+    "discourse_counts",
+    "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p.replace('§', '§')}')) AS {k}" for k, (_, p) in T.DISCOURSE.items()) + " FROM documents WHERE text IS NOT NULL",
+)
+def _discourse(spark, d):
+    counts = T.discourse_counts(F.col("text"))
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", *[c.cast("long").alias(k) for k, c in counts.items()])
+
+
+@query("passage_score")
+def _passage_score(spark, d):
+    return passages.scored_passages(read_table(spark, d, "documents"), ISSUES).select("doc_id", "span_no", F.round("score", 6).alias("score"))
+
+
+@query("digest_select")
+def _digests(spark, d):
+    scored = passages.scored_passages(read_table(spark, d, "documents"), ISSUES)
+    return passages.digests(scored, 2, 5000).select("doc_id", "digest_no", F.length("digest").alias("size"))
+
+
+@query(
+    "round_robin_trim",
+    """WITH e AS (SELECT source_id, candidate_no, row_number() OVER (PARTITION BY source_id ORDER BY candidate_no) AS k FROM evidence_candidate),
+r AS (SELECT source_id, candidate_no, row_number() OVER (PARTITION BY source_id ORDER BY (k - 1) // 3, (k - 1) % 3) AS n FROM (SELECT *, 0 AS x FROM e))
+SELECT source_id, candidate_no FROM r WHERE n <= 4""",
+)
+def _trim(spark, d):
+    number = F.row_number().over(Window.partitionBy("source_id").orderBy("candidate_no"))
+    rows = read_table(spark, d, "evidence_candidate").select("source_id", "candidate_no").withColumn("k", number - 1)
+    rows = rows.withColumn("item_no", F.floor(F.col("k") / 3)).withColumn("pass_no", F.col("k") % 3)
+    return passages.round_robin(rows, "source_id", "pass_no", "item_no", F.lit(4)).select("source_id", "candidate_no")
+
+
+@query(
+    "reading_budget",
+    """SELECT score.tier AS tier, CASE WHEN score.tier <= 2 THEN 3 WHEN score.tier = 3 THEN 2 ELSE 1 END AS passes,
+ CASE WHEN score.tier <= 2 THEN 16 WHEN score.tier = 3 THEN 12 ELSE 8 END AS items, count(*) AS n FROM research_source GROUP BY ALL""",
+)
+def _budget(spark, d):
+    passes, items = passages.reading_budget(F.col("score.tier"))
+    return read_table(spark, d, "research_source").groupBy(F.col("score.tier").alias("tier"), passes.alias("passes"), items.alias("items")).agg(F.count(F.lit(1)).alias("n"))
