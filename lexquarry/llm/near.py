@@ -4,12 +4,19 @@ Two texts of m and n words are near copies when 2c >= t(m + n), c being the word
 repeats counted. A record is a sparse vector of bytes over hashed word positions: the byte at a
 word's position says how often the word stands in it. The index holds positional bytes, one for
 every step of a count (word, 1), (word, 2) ..., so the number of shared positional bytes of two
-records is exactly c. Count filtering makes it sparse and loses nothing: with all positions in one
-global order, rare words first, two near copies must share at least ``TALLY`` of the first
-m - ceil(t(m + n)/2) + TALLY positional bytes of one and n - ceil(t(m + n)/2) + TALLY of the other.
-Pairs that reach this tally are verified on their whole vectors.
+records is exactly c. Count filtering keeps it small and loses nothing:
 
-Equal vectors are one class from the start; only classes are compared.
+* With all positional bytes in one global order, rare words first, near copies share one of the
+  first m - need + 1 of the one and n - need + 1 of the other, need = ceil(t(m + n) / 2). Only
+  these are indexed, and the place in the order and the lengths rule out most partners in a list.
+* Each record also has a short signature of ``POSITIONS`` four-bit positions, the sum of its
+  positional bytes there. Records that differ in d words differ in d positions at most, so the equal
+  positions of near copies are tallied and must reach POSITIONS - (m + n - 2 need).
+
+What passes is verified on the whole vectors. Lists of frequent words are cut into cells of bounded
+size that are compared one against one. Equal texts are one record until the end.
+
+Texts are told apart by 64-bit hashes, words within a vector too.
 
 Defined results. Null text: no record. Texts under ``least`` words pair with none. Empty tables give
 no rows. A record delivered again with the same text is one record. Very long texts are compared
@@ -18,6 +25,7 @@ whole. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +41,9 @@ from lexquarry.llm.frequent import most_frequent
 from lexquarry.session import settle
 
 _WORD = re.compile(r"[^\W_]+")
-TALLY = 2
+POSITIONS = 64
+#: Lists of words that occur more often than this are cut into cells.
+CELL = 16_384
 #: The words whose order is by measured frequency; all rarer ones come before them, by hash.
 ORDERED_WORDS = 20_000
 _MIX = 0x9E3779B97F4A7C15
@@ -57,120 +67,250 @@ def word_counts(records: DataFrame) -> DataFrame:
     return records.select("text").where("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _need(m: int, n: int, t: float) -> int:
+    return math.ceil(t * (m + n) / 2 - 1e-9)
+
+
 def vectors(records: DataFrame, least: int, ordered_words: int = ORDERED_WORDS) -> DataFrame:
-    """table_name, id, the digest ``bag`` of the vector, its length ``m`` and its positional bytes in index order."""
+    """Of each distinct text of a table: ``rid``, its length ``m``, signature, positional bytes in index
+    order, and of each the number of cells its list is cut into."""
     spark = records.sparkSession
     common = most_frequent(word_counts(records), ordered_words)
-    rank = spark.sparkContext.broadcast({r.word: i for i, r in enumerate(common)})
+    shared = spark.sparkContext.broadcast({r.word: (len(common) - i, r.n) for i, r in enumerate(common)})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = rank.value
-        last = len(places)
-        held: dict[str, tuple[int, int]] = {}
+        places = shared.value
+        held: dict[str, tuple[int, int, int]] = {}
         for batch in batches:
-            keep, bags, sizes, marks = [], [], [], []
+            keep, sizes, marks, cells, signatures = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = _words(text)
                 if len(words) < least:
                     continue
-                order, hashes = [], []
+                order, hashes, many = [], [], []
                 for word, times in Counter(words).items():
                     known = held.get(word)
                     if known is None:
                         if len(held) > 500_000:
                             held.clear()
-                        known = held[word] = (last - places.get(word, last), xxhash.xxh3_64_intdigest(word))
-                    place, h = known
+                        place, n = places.get(word, (0, 1))
+                        known = held[word] = (place, xxhash.xxh3_64_intdigest(word), -(-n // CELL))
+                    place, h, g = known
                     for k in range(times):
                         order.append(place)
                         hashes.append((h + k * _MIX) & _MASK)
+                        many.append(g)
                 marked = np.array(hashes, dtype=np.uint64)
-                marked = marked[np.lexsort((marked, np.array(order)))]
+                at = np.lexsort((marked, np.array(order)))
+                marked = marked[at]
+                where = (marked >> np.uint64(40)) % np.uint64(POSITIONS)
+                sums = np.bincount(where.astype(np.int64), (marked >> np.uint64(20)) & np.uint64(15), POSITIONS).astype(np.uint64) & np.uint64(15)
+                signatures.append((sums.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64))
                 keep.append(i)
                 sizes.append(len(words))
-                bags.append(xxhash.xxh3_128_digest(marked.tobytes()))
+                cells.append(np.array(many, np.int32)[at])
                 marks.append(marked.view(np.int64))
-            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             pick = pa.array(keep, pa.int32())
+            signed = np.array(signatures, np.uint64).view(np.int64).reshape(len(keep), POSITIONS // 16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["table_name", "id", "bag", "m", "marks"],
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(sizes, pa.int32()), *(pa.array(signed[:, j]) for j in range(POSITIONS // 16)),
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64))),
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int32)))],
+                ["table_name", "rid", "m", *_SIGNS, "marks", "cells"],
             )
 
-    given = records.select(F.col("table_name").cast("string"), F.col("id").cast("string"), F.col("text").cast("string"))
-    given = given.where("id is not null and text is not null")
-    return given.mapInArrow(build, "table_name string, id string, bag binary, m int, marks array<long>")
-
-
-def similar_classes(bags: DataFrame, t: float) -> DataFrame:
-    """Pairs of different classes (bag_a, bag_b) of one table with 2c >= t(m + n); ``bags`` has no repeats."""
-    exact = int(round(t * 1000))  # the threshold in thousandths, so that the bound is in whole numbers
-    need = "int(ceil(({a} + {b}) * %d / 2000.0 - 1e-9))" % exact
-    widest = (2000 - exact) / exact  # the longest partner of m has m * widest words
-    bags = bags.withColumn("rid", F.xxhash64("table_name", "bag"))
-    longest = F.expr(f"m - {need.format(a='m', b=f'int(ceil(m / {widest!r} - 1e-9))')} + {TALLY}")
-    shortest = F.expr(f"m - {need.format(a='m', b='m')} + {TALLY}")
-    marks = bags.select("rid", "m", shortest.alias("short"), F.posexplode(F.slice("marks", 1, longest)).alias("r", "mark"), "table_name")
-    marks = marks.select(
-        F.xxhash64("table_name", "mark").alias("mark"), "rid", "m", (F.col("r") + 1).alias("r"), "short"
-    )
-    a = marks.where("r <= short").select("mark", F.col("rid").alias("a"), F.col("m").alias("m"), F.col("r").alias("ra"))
-    b = marks.select("mark", F.col("rid").alias("b"), F.col("m").alias("n"), F.col("r").alias("rb"))
-    met = a.join(
-        b,
-        (a["mark"] == b["mark"])
-        & F.expr(
-            f"(m < n or (m = n and a < b)) and n <= m * {widest!r} + 1e-9"
-            f" and ra <= m - {need.format(a='m', b='n')} + {TALLY} and rb <= n - {need.format(a='m', b='n')} + {TALLY}"
-        ),
-    )
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally")).where(f"tally >= {TALLY}").select("a", "b")
-    left = bags.select(F.col("rid").alias("a"), F.col("table_name"), F.col("bag").alias("bag_a"), F.col("m").alias("m"), F.col("marks").alias("x"))
-    right = bags.select(F.col("rid").alias("b"), F.col("table_name").alias("tb"), F.col("bag").alias("bag_b"), F.col("m").alias("n"), F.col("marks").alias("y"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(F.expr(f"table_name = tb and bag_a <> bag_b and 2000 * size(array_intersect(x, y)) >= {exact} * (m + n)"))
-        .select("table_name", "bag_a", "bag_b")
-    )
+    texts = records.where("text is not null").groupBy("table_name", _rid().alias("rid")).agg(F.first("text").alias("text"))
+    signs = ", ".join(f"{s} long" for s in _SIGNS)
+    return texts.mapInArrow(build, f"table_name string, rid long, m int, {signs}, marks array<long>, cells array<int>")
 
 
-def _classes(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+_SIGNS = [f"s{j}" for j in range(POSITIONS // 16)]
+_LOW = np.uint64(0x1111111111111111)
+
+
+def _rid():
+    return F.xxhash64("table_name", "text")
+
+
+def _postings(t: float):
+    """Rows of the index: key, rid, m, place in the order, role (1 as the shorter, 2 as the longer), signature."""
+    widest = (2 - t) / t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, rids, sizes = (batch.column(j).to_pylist() for j in range(3))
+            signs = [batch.column(3 + j).to_numpy() for j in range(len(_SIGNS))]
+            marks, cells = batch.column(3 + len(_SIGNS)), batch.column(4 + len(_SIGNS))
+            at, flat, many = marks.offsets.to_numpy(), marks.values.to_numpy(), cells.values.to_numpy()
+            keys, rows, places, roles = [], [], [], []
+            for i, (table, rid, m) in enumerate(zip(tables, rids, sizes)):
+                longest = m - _need(math.ceil(m / widest - 1e-9), m, t) + 1
+                short = m - _need(m, m, t) + 1
+                a = at[i]
+                key = flat[a : a + longest] ^ np.int64(xxhash.xxh3_64_intdigest(table) >> 1)
+                g = many[a : a + longest]
+                place = np.arange(len(key))
+                role = np.where(place < short, 3, 2)
+                one = g == 1
+                keys.append(key[one])
+                places.append(place[one])
+                roles.append(role[one])
+                rows.append(np.full(int(one.sum()), i))
+                for k, h, r in zip(key[~one].tolist(), g[~one].tolist(), place[~one].tolist()):
+                    own = (rid >> 7) % h
+                    other = np.arange(h)
+                    for as_, x, y in ((1, own, other), (2, other, own)):
+                        if as_ == 1 and r >= short:
+                            continue
+                        with np.errstate(over="ignore"):
+                            cell = np.int64(k) ^ ((x * h + y + 1) * np.int64(0x165667B19E3779F9 >> 1))
+                        keys.append(np.asarray(cell, np.int64))
+                        places.append(np.full(h, r))
+                        roles.append(np.full(h, as_))
+                        rows.append(np.full(h, i))
+            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            pick = pa.array(row)
+            join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
+            yield pa.RecordBatch.from_arrays(
+                [join(keys, np.int64), batch.column(1).take(pick), batch.column(2).take(pick), join(places, np.int32), join(roles, np.int32),
+                 *(pa.array(s[row]) for s in signs)],
+                ["key", "rid", "m", "place", "role", *_SIGNS],
+            )
+
+    return run
+
+
+def _meet(t: float):
+    """Pairs of records that meet in a list and pass the filters; the lists come whole, by length."""
+
+    def within(m, rid, place, role, signs) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of one list, sorted by (m, rid)."""
+        shorter = np.flatnonzero(role & 1)
+        longer = np.flatnonzero(role & 2)
+        ml, pl, rl = m[longer], place[longer], rid[longer]
+        sl = [s[longer] for s in signs]
+        out_a, out_b = [], []
+        # A partner of n words must leave the place of the shorter in its prefix: place <= m - need.
+        top = (2 * (m[shorter] - place[shorter]) / t - m[shorter] + 1e-9).astype(np.int64)
+        lo, hi = np.searchsorted(ml, m[shorter], "left"), np.searchsorted(ml, top, "right")
+        for i, a, b in zip(shorter.tolist(), lo.tolist(), hi.tolist()):
+            if a >= b:
+                continue
+            n = ml[a:b]
+            need = np.ceil(t * (m[i] + n) / 2 - 1e-9).astype(np.int64)
+            ok = np.flatnonzero((pl[a:b] <= n - need) & ((n > m[i]) | (rl[a:b] > rid[i])))
+            if not len(ok):
+                continue
+            differ = np.zeros(len(ok), np.int64)
+            for own, s in zip(signs, sl):
+                x = s[a:b][ok] ^ own[i]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                differ += np.bitwise_count(x & _LOW)
+            ok = ok[differ <= m[i] + n[ok] - 2 * need[ok]]
+            if len(ok):
+                out_a.append(np.full(len(ok), rid[i]))
+                out_b.append(rl[a:b][ok])
+        empty = np.zeros(0, np.int64)
+        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
+
+    def small(key, m, rid, place, role, signs) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of many short lists at once: each row against the next one, the next but one ..."""
+        out_a, out_b = [], []
+        at, step = np.arange(len(key) - 1), 1
+        while len(at):
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            i, j = at, at + step
+            need = np.ceil(t * (m[i] + m[j]) / 2 - 1e-9).astype(np.int64)
+            ok = (role[i] & 1 > 0) & (role[j] & 2 > 0) & (rid[i] != rid[j]) & (place[i] <= m[i] - need) & (place[j] <= m[j] - need)
+            i, j, need = i[ok], j[ok], need[ok]
+            differ = np.zeros(len(i), np.int64)
+            for s in signs:
+                x = s[i] ^ s[j]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                differ += np.bitwise_count(x & _LOW)
+            ok = differ <= m[i] + m[j] - 2 * need
+            out_a.append(rid[i[ok]])
+            out_b.append(rid[j[ok]])
+            step += 1
+        empty = np.zeros(0, np.int64)
+        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, rid, m, place, role = columns[:5]
+        signs = [c.view(np.uint64) for c in columns[5:]]
+        m, place = m.astype(np.int64), place.astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(key)))
+        few = np.repeat(size <= 48, size)
+        found = [small(*(c[few] for c in (key, m, rid, place, role)), [s[few] for s in signs])]
+        for a, n in zip(begin[size > 48].tolist(), size[size > 48].tolist()):
+            cut = slice(a, a + n)
+            found.append(within(m[cut], rid[cut], place[cut], role[cut], [s[cut] for s in signs]))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None  # the list that the last batch ended in
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            open_ = int(np.searchsorted(now[0], now[0][-1], "left"))
+            if open_:
+                yield from pairs([c[:open_] for c in now])
+            rest = [c[open_:].copy() for c in now]
+        if rest is not None:
+            yield from pairs(rest)
+
+    return run
+
+
+def similar_texts(held: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of rids of different texts of one table with 2c >= t(m + n)."""
+    signs = ", ".join(f"{s} long" for s in _SIGNS)
+    index = held.mapInArrow(_postings(t), f"key long, rid long, m int, place int, role int, {signs}")
+    lists = index.repartition("key").sortWithinPartitions("key", "m", "rid")
+    pairs = lists.mapInArrow(_meet(t), "a long, b long").distinct()
+    left = held.select(F.col("rid").alias("a"), "m", F.col("marks").alias("x"))
+    right = held.select(F.col("rid").alias("b"), F.col("m").alias("n"), F.col("marks").alias("y"))
+    enough = F.expr(f"2000 * size(array_intersect(x, y)) >= {int(round(t * 1000))} * (m + n)")
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
+def _texts(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    records = records.select(*(F.col(c).cast("string").alias(c) for c in ("table_name", "id", "text"))).where("id is not null and text is not null")
     held = settle(vectors(records, least), "vectors")
-    members = held.select("table_name", "id", "bag").distinct()
-    bags = held.groupBy("table_name", "bag").agg(F.first("m").alias("m"), F.first("marks").alias("marks"))
-    return members, settle(bags, "bags")
+    members = records.select("table_name", "id", _rid().alias("rid")).distinct().join(held.select("rid"), "rid", "left_semi")
+    return members, held
 
 
 def near_pairs(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame:
-    """All pairs of ids of near copies, the smaller id first, copies with equal words among them."""
-    members, bags = _classes(records, least)
-    links = settle(similar_classes(bags, t), "links")
-    a = members.select("table_name", F.col("bag").alias("bag_a"), F.col("id").alias("i"))
-    b = members.select("table_name", F.col("bag").alias("bag_b"), F.col("id").alias("j"))
-    other = links.join(a, ["table_name", "bag_a"]).join(b, ["table_name", "bag_b"]).where("i <> j")
-    same = a.join(b.withColumnRenamed("bag_b", "bag_a"), ["table_name", "bag_a"]).where("i < j")
+    """All pairs of ids of near copies, the smaller id first, copies with equal texts among them."""
+    members, held = _texts(records, least)
+    members = settle(members, "members")
+    links = settle(similar_texts(held, t), "links")
+    a = members.select(F.col("rid").alias("a"), "table_name", F.col("id").alias("i"))
+    b = members.select(F.col("rid").alias("b"), F.col("id").alias("j"))
+    other = links.join(a, "a").join(b, "b").where("i <> j")
+    same = a.join(b.withColumnRenamed("b", "a"), "a").where("i < j")
     found = other.select("table_name", "i", "j").unionByName(same.select("table_name", "i", "j"))
     return found.select("table_name", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 
 def near_groups(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame:
-    """Each record of ``least`` words with its group: the least digest of the classes linked to its own,
-    and the number of other classes its class is linked with."""
-    members, bags = _classes(records, least)
-    links = settle(similar_classes(bags, t), "links")
-    key = lambda c: F.concat_ws(":", "table_name", F.hex(c))
-    grouped = components(links.select(key("bag_a").alias("a"), key("bag_b").alias("b")))
-    ends = links.select("table_name", F.col("bag_a").alias("bag")).unionAll(links.select("table_name", F.col("bag_b").alias("bag")))
-    degree = ends.groupBy("table_name", "bag").agg(F.count(F.lit(1)).alias("links"))
-    return (
-        members.join(degree, ["table_name", "bag"], "left")
-        .withColumn("node", key("bag"))
-        .join(grouped, "node", "left")
-        .select("table_name", "id", F.coalesce("component", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    """Each record of ``least`` words with its group, named by the least rid in it, and the number of
+    other texts its own is linked with."""
+    members, held = _texts(records, least)
+    links = settle(similar_texts(held, t), "links")
+    grouped = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
+    joined = members.join(degree, "rid", "left").join(grouped.withColumnRenamed("node", "rid"), "rid", "left")
+    return joined.select("table_name", "id", F.coalesce("component", "rid").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def texts_of(raw: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -179,5 +319,4 @@ def texts_of(raw: DataFrame, evidence: DataFrame) -> DataFrame:
     return (
         raw.select(F.lit("raw_result").alias("table_name"), F.col("raw_id").alias("id"), both.alias("text"))
         .unionByName(evidence.select(F.lit("evidence").alias("table_name"), F.col("evidence_id").alias("id"), F.col("statement").alias("text")))
-        .distinct()
     )
