@@ -117,11 +117,11 @@ def _pdf(spark, d):
 @query(
     "host_pacing",
     """WITH r AS (SELECT ord, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, fetched_at, lag(fetched_at) OVER (PARTITION BY lower(regexp_extract(url, '://([^/?#:]*)', 1)) ORDER BY fetched_at) AS b FROM raw_result)
-SELECT host, count(*) AS n FROM r WHERE epoch_us(fetched_at) - epoch_us(b) < 3600000000 GROUP BY host""",
+SELECT host, count(*) AS n FROM r WHERE epoch_us(fetched_at) - epoch_us(b) < 864000000000 GROUP BY host""",
 )
 def _pacing(spark, d):
     rows = read_table(spark, d, "raw_result").select(F.lower(F.regexp_extract("url", r"://([^/?#:]*)", 1)).alias("host"), F.col("fetched_at").alias("ts"))
-    return fetching.pacing(rows, F.lit(1 / 3600)).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return fetching.pacing(rows, F.lit(1 / 864000)).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
