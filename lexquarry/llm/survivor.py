@@ -85,7 +85,7 @@ def best_rows(rows: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def truth_discovery(
-    claims: DataFrame, max_rounds: int = 8, tolerance: float = 1e-3, prior: float = 0.7, strength: float = 10.0
+    claims: DataFrame, max_rounds: int = 8, tolerance: float = 1e-3, prior: float = 0.7, strength: float = 4.0
 ) -> tuple[DataFrame, DataFrame]:
     """Alternate between source reliability and weighted votes until neither changes.
 
