@@ -85,15 +85,15 @@ def best_rows(rows: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def truth_discovery(
-    claims: DataFrame, max_rounds: int = 8, tolerance: float = 1e-3, prior: float = 0.7, strength: float = 4.0
+    claims: DataFrame, max_rounds: int = 8, tolerance: float = 1e-3, prior: float = 0.7, strength: float = 4.0, choices: int = 10
 ) -> tuple[DataFrame, DataFrame]:
     """Alternate between source reliability and weighted votes until neither changes.
 
     ``claims`` has ``object``, ``field``, ``value`` and ``source``. Repeated claims of one source
     for one value count once. A source that claims k values for one field of one object splits
     its vote into k parts, so repetition earns nothing. The support of a value is the sum of its
-    sources' weights ``ln(r / (1 - r))``; the reliability r of a source is the support share of
-    its claims, drawn towards ``prior`` with ``strength`` pseudo-claims. Gives the winning value of
+    sources' weights ``ln(choices * r / (1 - r))``, a wrong claim being taken for one of ``choices``; the
+    reliability r of a source is the support share of its claims, drawn towards ``prior`` with ``strength`` pseudo-claims. Gives the winning value of
     each object and field (ties: the smaller value) and the reliabilities.
 
     A null value, source or object claims nothing. The number of sources may grow: they are a
@@ -108,7 +108,7 @@ def truth_discovery(
     support = None
     for _ in range(max_rounds):
         weighted = claims.join(rates.select("source", "r"), "source").withColumn(
-            "vote", F.col("part") * F.log(F.col("r") / (1 - F.col("r")))
+            "vote", F.col("part") * F.log(choices * F.col("r") / (1 - F.col("r")))
         )
         support = weighted.groupBy("object", "field", "value").agg(F.sum("vote").alias("support"))
         total = support.groupBy("object", "field").agg(F.sum(F.exp("support")).alias("total"))
@@ -119,7 +119,7 @@ def truth_discovery(
             .agg(F.sum("part").alias("n"), F.sum(F.col("part") * F.col("share")).alias("right"))
             .select(
                 "source", "n",
-                F.least(F.lit(0.99), F.greatest(F.lit(0.51), (F.col("right") + prior * strength) / (F.col("n") + strength))).alias("r"),
+                F.least(F.lit(0.99), F.greatest(F.lit(0.05), (F.col("right") + prior * strength) / (F.col("n") + strength))).alias("r"),
             )
         )
         news = settle(news, "reliability")
