@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.llm.frequent import most_frequent
 from lexquarry.session import scratch_path, shared_folder
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -338,8 +339,8 @@ def encode(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, lexicon_w
     spark = documents.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = f.read()  # a published vocabulary: about a megabyte
-    frequent = count_words(documents).orderBy(F.desc("n"), "word").limit(lexicon_words)
-    lexicon = Lexicon.build([bytes(r.word) for r in frequent.collect()], Merger(ranks))
+    frequent = most_frequent(count_words(documents), lexicon_words)
+    lexicon = Lexicon.build([bytes(r.word) for r in frequent], Merger(ranks))
     saved = spark.sparkContext.broadcast((lexicon.save(spark), ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,4 +26,4 @@ def most_frequent(counts: DataFrame, limit: int) -> list:
         cut = row.bucket
     if cut is None:
         return []
-    return sorted(held.where(F.col("bucket") >= cut).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
+    return sorted(held.where(F.col("bucket") >= cut).select("word", "n").collect(), key=lambda r: (-r.n, r.word if isinstance(r.word, str) else bytes(r.word)))
