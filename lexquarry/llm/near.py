@@ -41,7 +41,7 @@ from lexquarry.llm.frequent import most_frequent
 from lexquarry.session import settle
 
 _WORD = re.compile(r"[^\W_]+")
-POSITIONS = 64
+POSITIONS = 48
 #: Lists of words that occur more often than this are cut into cells.
 CELL = 16_384
 #: The words whose order is by measured frequency; all rarer ones come before them, by hash.
@@ -134,7 +134,7 @@ def _rid():
 
 
 def _postings(t: float):
-    """Rows of the index: key, rid, m, place in the order, role (1 as the shorter, 2 as the longer), signature."""
+    """Rows of the index: key, m, rid, place in the order and role (1 as the shorter, 2 as the longer) in one, signature."""
     widest = (2 - t) / t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,9 @@ def _postings(t: float):
             pick = pa.array(row)
             join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
             yield pa.RecordBatch.from_arrays(
-                [join(keys, np.int64), batch.column(1).take(pick), batch.column(2).take(pick), join(places, np.int32), join(roles, np.int32),
+                [join(keys, np.int64), batch.column(2).take(pick), batch.column(1).take(pick), join([4 * x + r for x, r in zip(places, roles)], np.int64),
                  *(pa.array(s[row]) for s in signs)],
-                ["key", "rid", "m", "place", "role", *_SIGNS],
+                ["key", "m", "rid", "rest", *_SIGNS],
             )
 
     return run
@@ -184,34 +184,38 @@ def _postings(t: float):
 def _meet(t: float):
     """Pairs of records that meet in a list and pass the filters; the lists come whole, by length."""
 
+    # In thousandths, so that the bounds are whole numbers: place <= n - need is (2000 - e)n - 2000 place >= e m.
+    e = int(round(t * 1000))
+
     def within(m, rid, place, role, signs) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of one list, sorted by (m, rid)."""
-        shorter = np.flatnonzero(role & 1)
-        longer = np.flatnonzero(role & 2)
-        ml, pl, rl = m[longer], place[longer], rid[longer]
-        sl = [s[longer] for s in signs]
+        shorter, longer = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        ml, rl, sl = m[longer], rid[longer], signs[longer]
+        slack = (2000 - e) * ml - 2000 * place[longer]
+        budget = np.array([s - 2 * -(-e * s // 2000) for s in range(2 * int(m[-1]) + 1)])  # how many words two records may differ in, by their joint length
         out_a, out_b = [], []
         # A partner of n words must leave the place of the shorter in its prefix: place <= m - need.
-        top = (2 * (m[shorter] - place[shorter]) / t - m[shorter] + 1e-9).astype(np.int64)
-        lo, hi = np.searchsorted(ml, m[shorter], "left"), np.searchsorted(ml, top, "right")
+        ms = m[shorter]
+        top = (2000 * (ms - place[shorter]) - e * ms) // e
+        lo, hi = np.searchsorted(ml, ms, "left"), np.searchsorted(ml, top, "right")
         for i, a, b in zip(shorter.tolist(), lo.tolist(), hi.tolist()):
             if a >= b:
                 continue
-            n = ml[a:b]
-            need = np.ceil(t * (m[i] + n) / 2 - 1e-9).astype(np.int64)
-            ok = np.flatnonzero((pl[a:b] <= n - need) & ((n > m[i]) | (rl[a:b] > rid[i])))
+            ok = np.flatnonzero(slack[a:b] >= e * m[i])
             if not len(ok):
                 continue
-            differ = np.zeros(len(ok), np.int64)
-            for own, s in zip(signs, sl):
-                x = s[a:b][ok] ^ own[i]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                differ += np.bitwise_count(x & _LOW)
-            ok = ok[differ <= m[i] + n[ok] - 2 * need[ok]]
+            ok += a
+            x = sl[ok]
+            x ^= signs[i]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            x &= _LOW
+            differ = np.bitwise_count(x).sum(axis=1)
+            ok = ok[differ <= budget[ml[ok] + m[i]]]
+            ok = ok[(ml[ok] > m[i]) | (rl[ok] > rid[i])]
             if len(ok):
                 out_a.append(np.full(len(ok), rid[i]))
-                out_b.append(rl[a:b][ok])
+                out_b.append(rl[ok])
         empty = np.zeros(0, np.int64)
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
@@ -223,15 +227,13 @@ def _meet(t: float):
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
             i, j = at, at + step
-            need = np.ceil(t * (m[i] + m[j]) / 2 - 1e-9).astype(np.int64)
+            need = -(-e * (m[i] + m[j]) // 2000)
             ok = (role[i] & 1 > 0) & (role[j] & 2 > 0) & (rid[i] != rid[j]) & (place[i] <= m[i] - need) & (place[j] <= m[j] - need)
             i, j, need = i[ok], j[ok], need[ok]
-            differ = np.zeros(len(i), np.int64)
-            for s in signs:
-                x = s[i] ^ s[j]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                differ += np.bitwise_count(x & _LOW)
+            x = signs[i] ^ signs[j]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            differ = np.bitwise_count(x & _LOW).sum(axis=1)
             ok = differ <= m[i] + m[j] - 2 * need
             out_a.append(rid[i[ok]])
             out_b.append(rid[j[ok]])
@@ -240,16 +242,16 @@ def _meet(t: float):
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, rid, m, place, role = columns[:5]
-        signs = [c.view(np.uint64) for c in columns[5:]]
-        m, place = m.astype(np.int64), place.astype(np.int64)
+        key, m, rid, rest = columns[:4]
+        signs = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
+        m, place, role = m.astype(np.int64), rest >> 2, rest & 3
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(key)))
         few = np.repeat(size <= 48, size)
-        found = [small(*(c[few] for c in (key, m, rid, place, role)), [s[few] for s in signs])]
+        found = [small(*(c[few] for c in (key, m, rid, place, role, signs)))]
         for a, n in zip(begin[size > 48].tolist(), size[size > 48].tolist()):
             cut = slice(a, a + n)
-            found.append(within(m[cut], rid[cut], place[cut], role[cut], [s[cut] for s in signs]))
+            found.append(within(m[cut], rid[cut], place[cut], role[cut], signs[cut]))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -273,7 +275,7 @@ def _meet(t: float):
 def similar_texts(held: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) of rids of different texts of one table with 2c >= t(m + n)."""
     signs = ", ".join(f"{s} long" for s in _SIGNS)
-    index = held.mapInArrow(_postings(t), f"key long, rid long, m int, place int, role int, {signs}")
+    index = held.mapInArrow(_postings(t), f"key long, m int, rid long, rest long, {signs}")
     lists = index.repartition("key").sortWithinPartitions("key", "m", "rid")
     pairs = lists.mapInArrow(_meet(t), "a long, b long").distinct()
     left = held.select(F.col("rid").alias("a"), "m", F.col("marks").alias("x"))
