@@ -239,7 +239,7 @@ def fit(labelled: list[tuple[str, float, float]], rounds: int = 3, tie: float =
                 use[a:b] = score[a:b] < doubt
 
         def trained(keep: np.ndarray, y: np.ndarray = y) -> Logistic:
-            w = weight[keep] * np.where(y[keep] == 1, 1.5, 1.0)
+            w = weight[keep]
             chosen = Rows([rows[j] for j in keep])
             return Logistic(BITS).fit(chosen, y[keep], w / w.mean(), epochs=3, rate=0.25, l2=1e-5, batch=512, pairs=pairs, tie=tie, seed=seed)
 
