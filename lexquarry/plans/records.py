@@ -97,7 +97,19 @@ def _outcome(spark, d):
 FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<&]') AND regexp_full_match(text, '[\\x09\\x0A\\x0D\\x20-\\x7E]*')""")
 def _html(spark, d):
     rows = read_table(spark, d, "documents").where(r"text is not null and not text rlike '[<&]'").where(F.col("text").rlike(r"^[\x09\x0A\x0D\x20-\x7E]*$") | (F.col("text") == ""))
-    body = F.regexp_replace(F.regexp_replace("text", "\r", " "), "\n", "</p><p>")
+    return extracted(rows)
+
+
+@query("html_pages")
+def _html_pages(spark, d):
+    """Every document; ``html_text`` covers only those that its SQL can follow."""
+    return extracted(read_table(spark, d, "documents").where("text is not null"))
+
+
+def extracted(rows):
+    """The text of each row (doc_id, text), written into a page and read out of it again."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.regexp_replace(F.regexp_replace(escaped, "\r", " "), "\n", "</p><p>")
     page = F.concat(F.lit("<html><head><style>x</style></head><body><nav>menu</nav><script>var a = '</p>';</script><p>"), body, F.lit("</p><footer>end</footer></body></html>"))
     return fetching.extract_html(rows.select(F.col("doc_id").cast("string").alias("url"), page.alias("html"))).select(F.col("url").cast("long").alias("doc_id"), "text")
 
