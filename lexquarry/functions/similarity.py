@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -26,6 +27,50 @@ def ratio(a: str, b: str) -> float:
     return 100.0 * 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def stretch_starts(a: str, b: str) -> np.ndarray:
+    """For each k from 1 to the length of ``b`` the number c such that the longest common subsequence of ``a``
+    and ``b[x:y]`` is as long as there are k in x < k <= y with c <= x.
+
+    One table serves all stretches of ``b``; it is filled along its diagonals, whose cells do not depend on
+    each other.
+    """
+    n, m = len(a), len(b)
+    rows, columns = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a[::-1], b))
+    kind = np.int16 if m < 32000 else np.int32
+    left = np.zeros(n, kind)  # of the row whose letter stands there in ``rows``
+    above = np.arange(1, m + 1, dtype=kind)
+    for d in range(n + m - 1):  # row i, column j with i + j = d; rows are stored backwards
+        i, j = min(d, n - 1), max(0, d - n + 1)
+        count = min(i, m - 1 - j) + 1
+        r = n - 1 - i
+        u, v = left[r : r + count], above[j : j + count]
+        same = rows[r : r + count] == columns[j : j + count]
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        np.copyto(high, u, where=same)
+        np.copyto(low, v, where=same)
+        left[r : r + count], above[j : j + count] = low, high
+    return above.astype(np.int64)
+
+
+def window_scores(short: str, long: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ratios of ``short`` with stretches of ``long``, which is not shorter: with each of its length by start,
+    with each shorter one at the front by length, and with each shorter one at the back by start."""
+    n, m = len(short), len(long)
+    c = stretch_starts(short, long)
+    k = np.arange(1, m + 1)
+
+    def covered(first: np.ndarray) -> np.ndarray:
+        """By x, the number of k with first[k] <= x < k."""
+        change = np.bincount(first, minlength=m + 1) - np.bincount(k, minlength=m + 1)
+        return np.cumsum(change)[:m]
+
+    whole = 200.0 * covered(np.minimum(np.maximum(c, k - n), k))[: m - n + 1] / (2 * n)
+    front = 200.0 * np.cumsum(c == 0)[: n - 1] / (n + k[: n - 1])
+    x = np.arange(m - n + 1, m)
+    back = 200.0 * covered(np.minimum(c, k))[m - n + 1 :] / (n + m - x)
+    return whole, front, back
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with a stretch of the longer one, stretches at its ends may be shorter."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -33,16 +78,7 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    n, m = len(short), len(long)
-    starts = [(max(0, i), min(m, i + n)) for i in range(1 - n, m)]
-    letters = set(short)
-    best = 0.0
-    for x, y in starts:
-        if long[y - 1] not in letters:
-            continue
-        if 200.0 * min(n, y - x) / (n + y - x) > best:
-            best = max(best, ratio(short, long[x:y]))
-    return best
+    return float(max(x.max(initial=0.0) for x in window_scores(short, long)))
 
 
 def token_set_ratio(a: str, b: str) -> float:

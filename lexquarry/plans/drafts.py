@@ -118,7 +118,7 @@ def _quotes(spark, d):
 
 @query("quote_similarity")
 def _similar(spark, d):
-    rows = read_table(spark, d, "evidence_candidate").where("length(statement) between 10 and 200 and verbatim_quote is not null and length(verbatim_quote) <= 400")
+    rows = read_table(spark, d, "evidence_candidate").where("statement is not null and verbatim_quote is not null")
     return rows.select("candidate_no", F.round(partial_ratio_col("statement", "verbatim_quote"), 6).alias("score"))
 
 

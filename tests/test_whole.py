@@ -1,5 +1,9 @@
 """Queries that do their whole job on rows that SQL or a filter would leave out."""
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lexquarry.functions import similarity
 from lexquarry.plans import records, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,3 +24,31 @@ def test_html_pages_of_all_documents(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet").where("text is not null").collect()
     got = registry.QUERIES["html_pages"](spark, FOLDER).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, _lines(r.text)) for r in documents)
+
+
+def _best_stretch(a, b):
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    n, m = len(short), len(long)
+    return max(similarity.ratio(short, long[max(0, i) : min(m, i + n)]) for i in range(1 - n, m))
+
+
+@given(st.text(alphabet="abcé", min_size=1, max_size=12), st.text(alphabet="abcé😀", min_size=1, max_size=30))
+@settings(max_examples=500, deadline=None)
+def test_partial_ratio_is_the_optimum(a, b):
+    assert abs(similarity.partial_ratio(a, b) - _best_stretch(a, b)) < 1e-9
+
+
+def test_partial_ratio_at_the_back():
+    # The last letter stands nowhere in the shorter text, yet the stretch before it is the best one.
+    assert similarity.partial_ratio("bcda", "xxxxbcz") == 200 * 2 / 7
+
+
+def test_quote_similarity_of_all_candidates(spark):
+    rows = spark.read.parquet(f"{FOLDER}/evidence_candidate.parquet").where("statement is not null and verbatim_quote is not null").collect()
+    assert any(len(r.statement) > 200 for r in rows) and any(len(r.verbatim_quote) > 400 for r in rows)
+    got = sorted((r.candidate_no, r.score) for r in registry.QUERIES["quote_similarity"](spark, FOLDER).collect())
+    assert [x for x, _ in got] == sorted(r.candidate_no for r in rows)
+    texts = {r.candidate_no: (r.statement, r.verbatim_quote) for r in rows}
+    for no, score in got[::40]:
+        a, b = texts[no]
+        assert abs(score - (_best_stretch(a, b) if a and b else 100.0 * (a == b))) < 1e-5
