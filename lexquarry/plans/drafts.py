@@ -156,3 +156,9 @@ def _spans(spark, d):
 def _voice(spark, d):
     rows = _sections(spark, d).where("not contains(body, '(') and not contains(body, ')')").where(~F.col("body").rlike(r'["“][^"”]{3,}["”]'))
     return rows.select("section_id", D.voice_safe(F.col("body"), F.lower("body")).alias("safe"))
+
+
+@query("voice_sections")
+def _voice_sections(spark, d):
+    """Every section; ``voice_safe`` covers only those without brackets and quotations, as its SQL does."""
+    return _sections(spark, d).select("section_id", D.voice_safe(F.col("body"), F.lower("body")).alias("safe"))

@@ -1,10 +1,16 @@
 """Queries that do their whole job on rows that SQL or a filter would leave out."""
 
+import re
+from collections import Counter
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexquarry.functions import similarity
+from lexquarry.operators import drafting
 from lexquarry.plans import records, registry
+from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +58,40 @@ def test_quote_similarity_of_all_candidates(spark):
     for no, score in got[::40]:
         a, b = texts[no]
         assert abs(score - (_best_stretch(a, b) if a and b else 100.0 * (a == b))) < 1e-5
+
+
+def _kept(before, after):
+    parts = lambda t: (Counter(drafting.paren_spans(t)), Counter(re.findall(r'["“]([^"”]{3,})["”]', t)))
+    return parts(before) == parts(after)
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "safe"),
+    [
+        ("It held (IBC, s. 29A(c)) so.", "So it held (IBC, s. 29A(c)).", True),
+        ("It held (IBC, s. 29A(c)) so.", "It held (IBC, s. 29A(d)) so.", False),
+        ("It held (a) and (a).", "It held (a).", False),
+        ("It held (a) and (b).", "It held (b) and (a).", True),
+        ("It said “the law” and (x).", "And (x): it said “the law”.", True),
+        ('It said "the law".', 'It said "The law".', False),
+        ('It said "the law" and "the law".', 'It said "the law".', False),
+        ('It said "no".', 'It said "No".', True),
+        ("(open", "open", True),
+        ("“नियम लागू” है", "“नियम” है", False),
+    ],
+)
+def test_voice_safe(spark, before, after, safe):
+    frame = spark.createDataFrame([(before, after)], "a string, b string")
+    assert frame.select(drafting.voice_safe(F.col("a"), F.col("b")).alias("x")).first().x is safe is _kept(before, after)
+
+
+def test_voice_of_all_sections(spark, tmp_path):
+    text = "No brackets.\n\nHeld (IBC, s. 29A(c)) so.\n\nHeld (see above) so.\n\nIt said “The law”.\n\nIt said “the law”."
+    rows = spark.createDataFrame([(1, "draft", text), (2, "draft", None), (3, "scan", "(A)")], "doc_id long, doc_kind string, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.section_id: r.safe for r in registry.QUERIES["voice_sections"](spark, str(tmp_path)).collect()}
+    assert got == {"1-0": True, "1-1": False, "1-2": True, "1-3": False, "1-4": True}
+    drafts = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_kind = 'draft' and text is not null").collect()
+    bodies = {f"{r.doc_id}-{i}": body for r in drafts for i, body in enumerate(r.text.split("\n\n"))}
+    got = {r.section_id: r.safe for r in registry.QUERIES["voice_sections"](spark, FOLDER).collect()}
+    assert got == {k: _kept(body, body.lower()) for k, body in bodies.items()}
