@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from lexquarry.functions.similarity import partial_ratio_col
+
 MARKER = r"\[\[ev:([^\]\s]+)\]\]"
 LOOSE = r"ev:([0-9A-Za-z_-]+)"
+CLOSE = 92.0
 # Phrases that hedge.
 HEDGES = ["it is submitted", "arguably", "it may be noted", "it would appear"]
 
@@ -84,6 +87,23 @@ def plain_quote(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s]", ""), r"\s+", " "))
 
 
+def verify_quotes(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each quotation (section_id, quote, evidence_id) with ``status`` and, where it was scored, ``score``.
+
+    unresolved without such evidence, no_quote without a quote of it, clean if one stands in the other, else
+    close or diverging by the partial ratio.
+    """
+    held = evidence.groupBy("evidence_id").agg(F.max("verbatim_quote").alias("_verbatim"), F.lit(True).alias("_known"))
+    joined = claims.join(held, "evidence_id", "left").withColumn("_q", plain_quote(F.col("quote"))).withColumn("_v", plain_quote(F.col("_verbatim")))
+    clean = (F.col("_q") != "") & (F.contains("_v", "_q") | F.contains("_q", "_v"))
+    state = F.when(F.col("_known").isNull(), "unresolved").when(F.coalesce("_verbatim", F.lit("")) == "", "no_quote").when(clean, "clean")
+    marked = joined.withColumn("_state", state)
+    unclear = F.col("_state").isNull()
+    scored = marked.withColumn("score", partial_ratio_col(F.when(unclear, F.col("_q")), F.when(unclear, F.col("_v"))))
+    status = F.coalesce("_state", F.when(F.col("score") >= CLOSE, "close").otherwise("diverging"))
+    return scored.select("section_id", "evidence_id", "quote", status.alias("status"), "score")
+
+
 def render(bodies: DataFrame, citations: DataFrame) -> DataFrame:
     """Bodies with each marker replaced by its citation in brackets; markers without one disappear.
 

@@ -162,3 +162,9 @@ def _voice(spark, d):
 def _voice_sections(spark, d):
     """Every section; ``voice_safe`` covers only those without brackets and quotations, as its SQL does."""
     return _sections(spark, d).select("section_id", D.voice_safe(F.col("body"), F.lower("body")).alias("safe"))
+
+
+@query("quote_verify")
+def _quote_verify(spark, d):
+    """Every quotation before a marker against the quote of its evidence; ``quote_check`` has the pairs of its SQL."""
+    return D.verify_quotes(D.quoted_claims(_sections(spark, d)), read_table(spark, d, "evidence"))

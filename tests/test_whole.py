@@ -95,3 +95,22 @@ def test_voice_of_all_sections(spark, tmp_path):
     bodies = {f"{r.doc_id}-{i}": body for r in drafts for i, body in enumerate(r.text.split("\n\n"))}
     got = {r.section_id: r.safe for r in registry.QUERIES["voice_sections"](spark, FOLDER).collect()}
     assert got == {k: _kept(body, body.lower()) for k, body in bodies.items()}
+
+
+def test_quote_verify(spark, tmp_path):
+    law = "No resolution applicant shall be eligible to submit a plan if such person is an undischarged insolvent"
+    slips = law.replace("eligible", "eligibel").replace("insolvent", "insolvant")
+    other = "The appeal was dismissed with costs on the ground of limitation alone"
+    text = (
+        f'Held “{law}” [[ev:e1]].\n\nHeld "{slips}", [[ev:e1]] and “{other}” [[ev:e1]].\n\nHeld “{law[20:60].upper()}—” [[ev:e1]] and “{law}” [[ev:e2]].'
+        f"\n\nHeld “{law}” [[ev:e9]], “too short” [[ev:e1]], “{law}” with no marker, “{'—' * 12}” [[ev:e1]]."
+    )
+    spark.createDataFrame([(1, "draft", text)], "doc_id long, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("e1", law), ("e1", law), ("e2", None)], "evidence_id string, verbatim_quote string").write.parquet(f"{tmp_path}/evidence.parquet")
+    got = registry.QUERIES["quote_verify"](spark, str(tmp_path)).collect()
+    assert sorted((r.section_id, r.evidence_id, r.status) for r in got) == [
+        ("1-0", "e1", "clean"), ("1-1", "e1", "close"), ("1-1", "e1", "diverging"), ("1-2", "e1", "clean"), ("1-2", "e2", "no_quote"),
+        ("1-3", "e1", "diverging"), ("1-3", "e9", "unresolved"),
+    ]
+    assert all((r.score is None) == (r.status not in ("close", "diverging")) for r in got)
+    assert all(abs(r.score - _best_stretch(slips.lower(), law.lower())) < 1e-9 for r in got if r.status == "close")
