@@ -52,25 +52,46 @@ def stretch_starts(a: str, b: str) -> np.ndarray:
     return above.astype(np.int64)
 
 
+def _covered(first: np.ndarray) -> np.ndarray:
+    """For x from 0, the number of k (from 1) with first[k - 1] <= x < k; first[k - 1] is at most k."""
+    m = len(first)
+    return np.cumsum(np.bincount(first, minlength=m + 1)[:m] - (np.arange(m) > 0))
+
+
 def window_scores(short: str, long: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ratios of ``short`` with stretches of ``long``, which is not shorter: with each of its length by start,
     with each shorter one at the front by length, and with each shorter one at the back by start."""
     n, m = len(short), len(long)
     c = stretch_starts(short, long)
     k = np.arange(1, m + 1)
-
-    def covered(first: np.ndarray) -> np.ndarray:
-        """By x, the number of k with first[k] <= x < k."""
-        change = np.bincount(first, minlength=m + 1) - np.bincount(k, minlength=m + 1)
-        return np.cumsum(change)[:m]
-
-    whole = 200.0 * covered(np.minimum(np.maximum(c, k - n), k))[: m - n + 1] / (2 * n)
+    whole = 200.0 * _covered(np.maximum(c, k - n))[: m - n + 1] / (2 * n)
     front = 200.0 * np.cumsum(c == 0)[: n - 1] / (n + k[: n - 1])
-    x = np.arange(m - n + 1, m)
-    back = 200.0 * covered(np.minimum(c, k))[m - n + 1 :] / (n + m - x)
+    back = 200.0 * _covered(c)[m - n + 1 :] / (n + k[: n - 1][::-1])
     return whole, front, back
 
 
+def best_window(short: str, long: str, least: float) -> int | None:
+    """Start of the window of ``long``, as long as ``short``, of the highest partial ratio with it, of at least ``least``.
+
+    Of equal ones the window that has more of ``short`` as a whole counts, then the first. All windows are
+    bounded by their longest common subsequence; those that can reach the best are scored.
+    """
+    n, m = len(short), len(long)
+    c = stretch_starts(short, long)
+    sizes = np.arange(1, n + 1)
+    common = _covered(np.maximum(c, np.arange(1, m + 1) - n))[: m - n + 1]
+    bound = 200.0 * common / (n + common)
+    best = (least, -1, 0)
+    for x in np.argsort(-bound, kind="stable").tolist():
+        if bound[x] < best[0]:
+            break
+        inside = np.maximum(c[x : x + n] - x, 0)
+        front = 200.0 * np.cumsum(inside == 0) / (n + sizes)
+        back = 200.0 * _covered(inside) / (n + sizes[::-1])
+        best = max(best, (float(max(front.max(), back.max())), int(common[x]), -x))
+    return -best[2] if best[1] >= 0 else None
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with a stretch of the longer one, stretches at its ends may be shorter."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.functions.similarity import lcs_length
+from lexquarry.functions.similarity import best_window, ratio
 
 FUZZY = 92.0
 # Characters that count as one when quotes are compared.
@@ -64,25 +64,17 @@ def normalised_place(text: str, quote: str) -> tuple[int, int] | None:
 
 
 def fuzzy_place(text: str, quote: str, least: float = FUZZY) -> tuple[int, int] | None:
-    """Offsets of the stretch of the quote's length that resembles it most, at least ``least`` of 100."""
+    """Offsets of the stretch of the quote's length whose partial ratio with it is highest, at least ``least`` of 100.
+
+    All stretches count, not only those on a grid. A text shorter than the quote is compared as a whole.
+    """
     n = len(quote)
     if not 10 <= n <= 5000 or not text:
         return None
-    step = max(1, n // 4, (len(text) - n) // 4000)
-    best, at = -1.0, 0
-
-    def score(a: int) -> float:
-        piece = text[a : a + n]
-        return 200.0 * lcs_length(quote, piece) / (n + len(piece)) if piece else 0.0
-
-    for a in range(0, max(1, len(text) - n + 1), step):
-        if (s := score(a)) > best:
-            best, at = s, a
-    fine = max(1, step // 4)
-    for a in range(max(0, at - n // 2), min(max(1, len(text) - n + 1), at + n // 2 + 1), fine):
-        if (s := score(a)) > best:
-            best, at = s, a
-    return (at, min(len(text), at + n)) if best >= least else None
+    if len(text) < n:
+        return (0, len(text)) if ratio(quote, text) >= least else None
+    at = best_window(quote, text, least)
+    return None if at is None else (at, at + n)
 
 
 def ground(claims: DataFrame) -> DataFrame:

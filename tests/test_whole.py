@@ -1,5 +1,6 @@
 """Queries that do their whole job on rows that SQL or a filter would leave out."""
 
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexquarry.functions import similarity
-from lexquarry.operators import drafting
+from lexquarry.operators import drafting, grounding
 from lexquarry.plans import records, registry
 from pyspark.sql import functions as F
 
@@ -114,3 +115,36 @@ def test_quote_verify(spark, tmp_path):
     ]
     assert all((r.score is None) == (r.status not in ("close", "diverging")) for r in got)
     assert all(abs(r.score - _best_stretch(slips.lower(), law.lower())) < 1e-9 for r in got if r.status == "close")
+
+
+def _places(text, quote):
+    n = len(quote)
+    return [_best_stretch(quote, text[a : a + n]) for a in range(len(text) - n + 1)]
+
+
+def test_fuzzy_place_off_the_grid():
+    rng = random.Random(3)
+    found = 0
+    for _ in range(50):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(40)]
+        text = " ".join(words)
+        a = rng.randrange(20, 90)
+        quote = list(text[a : a + 80])
+        for i in rng.sample(range(80), rng.randint(3, 9)):
+            quote[i] = rng.choice("0123456789")
+        quote = "".join(quote)
+        scores = _places(text, quote)
+        place = grounding.fuzzy_place(text, quote)
+        assert (place is not None) == (max(scores) >= 92)
+        if place:
+            found += 1
+            assert abs(scores[place[0]] - max(scores)) < 1e-9 and place[1] - place[0] == 80
+    assert 5 < found < 45
+
+
+def test_ground_keeps_a_passage_near_the_threshold(spark):
+    passage = "the resolution applicant shall not be eligible to submit a plan where it is a related party of the debtor"
+    quote = "".join("#" if i % 20 == 7 else c for i, c in enumerate(passage))
+    claims = [(k, "x" * k + " " + passage + " and further the Tribunal observed as follows in paragraph 7.", quote) for k in range(40)]
+    got = grounding.ground(spark.createDataFrame(claims, "claim_id long, text string, quote string")).collect()
+    assert {(r.level, r.start - r.claim_id) for r in got} == {("fuzzy", 1)}
