@@ -49,7 +49,7 @@ def page_key(url: Column) -> Column:
 def page_groups(raw: DataFrame) -> DataFrame:
     """The columns of a delivery that matter here, with ``page``; rows without a page are left out."""
     return raw.select(
-        "run_id", page_key(F.col("url_canonical")).alias("page"), "ord", "title", "published_at", "provider", "fetched_at",
+        "run_id", page_key(F.col("url_canonical")).alias("page"), "ord", "url_canonical", "title", "published_at", "provider", "fetched_at",
     ).where(F.col("page").isNotNull() & F.col("run_id").isNotNull())
 
 
@@ -129,6 +129,8 @@ def truth_discovery(
         rates = news
         if change is None or change < tolerance:
             break
+    else:
+        raise RuntimeError(f"truth discovery did not settle in {max_rounds} rounds")
     best = support.groupBy("object", "field").agg(
         F.max_by("value", F.struct(F.round("support", 9).alias("s"), F.col("share"))).alias("_"),
         F.max(F.round("support", 9)).alias("support"),
@@ -143,12 +145,16 @@ def p6_found(raw: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def p6_truth(raw: DataFrame) -> DataFrame:
-    """Each group's best supported title and date by truth discovery; first_ord names the group."""
+    """Each group's best supported title, date and spelling of its URL by truth discovery; first_ord names the group.
+
+    The provider is the source whose reliability is estimated; it claims nothing about itself, so it has no votes.
+    """
     rows = settle(page_groups(raw), "pages")
     groups = rows.groupBy("run_id", "page").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     claim = rows.join(groups, ["run_id", "page"])
     title = claim.select(F.col("first_ord").alias("object"), F.lit("title").alias("field"), F.nullif(F.trim("title"), F.lit("")).alias("value"), F.col("provider").alias("source"))
     dated = claim.where(F.col("published_at") <= F.to_date("fetched_at"))
     date = dated.select(F.col("first_ord").alias("object"), F.lit("published_at").alias("field"), F.col("published_at").cast("string").alias("value"), F.col("provider").alias("source"))
-    winners, _ = truth_discovery(title.unionByName(date))
+    url = claim.select(F.col("first_ord").alias("object"), F.lit("url_canonical").alias("field"), F.trim("url_canonical").alias("value"), F.col("provider").alias("source"))
+    winners, _ = truth_discovery(title.unionByName(date).unionByName(url))
     return winners.select(F.col("object").alias("first_ord"), "field", "value")

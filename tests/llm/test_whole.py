@@ -1,6 +1,10 @@
-"""Operators for training data that leave no case out because of its frequency."""
+"""Operators for training data that leave no part of their job out."""
 
-from lexquarry.llm import variants
+import datetime
+
+import pytest
+
+from lexquarry.llm import survivor, variants
 
 
 def test_frequent_tokens_are_compared(spark):
@@ -13,3 +17,17 @@ def test_frequent_tokens_are_compared(spark):
     hot, cold = ({tuple(r) for r in variants.variant_pairs(frame, hot).collect()} for hot in (1, 10**9))
     assert hot == cold
     assert ("case_name", "F. Navnekr v State of Vidra", "Farida Navnekar v State of Vindra") in hot
+
+
+def test_truth_of_urls(spark):
+    day, at = datetime.date(2020, 1, 1), datetime.datetime(2021, 1, 1)
+    rows = [(10 * k + i, "r", u.format(k), "t", day, p, at) for k in range(6) for i, (u, p) in enumerate([("https://a.org/{}", "p"), (" https://a.org/{} ", "q"), ("http://www.A.org:80/{}/#x", "s")])]
+    raw = spark.createDataFrame(rows, "ord long, run_id string, url_canonical string, title string, published_at date, provider string, fetched_at timestamp")
+    got = {(r.first_ord, r.field): r.value for r in survivor.p6_truth(raw).collect()}
+    assert got == {(10 * k, f): v for k in range(6) for f, v in (("title", "t"), ("published_at", "2020-01-01"), ("url_canonical", f"https://a.org/{k}"))}
+
+
+def test_truth_that_does_not_settle(spark):
+    claims = spark.createDataFrame([("o", "f", "v", "a"), ("o", "f", "v", "b"), ("o", "f", "w", "c")], "object string, field string, value string, source string")
+    with pytest.raises(RuntimeError, match="did not settle in 1 rounds"):
+        survivor.truth_discovery(claims, max_rounds=1)
