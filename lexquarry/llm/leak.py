@@ -69,36 +69,44 @@ class NgramSet:
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, int)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, int)
 
-    def items_in(self, text: str) -> set[int]:
+    def _hits(self, text: str) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The word ids of a text, and each window whose hash is held, with the range of its entries."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words(text)), dtype=np.uint64)
         n = self.n
         if len(ids) < n or not len(self.keys):
-            return set()
+            return ids, []
         known = np.concatenate(([0], np.cumsum(ids > 0)))
         full = np.flatnonzero(known[n:] - known[:-n] == n)  # windows of nothing but known words
         if not len(full):
-            return set()
+            return ids, []
         h = window_hashes(ids, n)[full]
         lo = np.searchsorted(self.keys, h, "left")
         hi = np.searchsorted(self.keys, h, "right")
+        return ids, list(zip(full[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()))
+
+    def _same(self, ids: np.ndarray, at: int, k: int) -> bool:
+        own, where = self.owner[k], self.place[k]
+        return np.array_equal(ids[at : at + self.n], self.texts[own][where : where + self.n])
+
+    def items_in(self, text: str) -> set[int]:
+        ids, hits = self._hits(text)
         found = set()
-        for at, a, b in zip(full[hi > lo], lo[hi > lo], hi[hi > lo]):
+        for at, a, b in hits:
             for k in range(a, b):
-                own, where = self.owner[k], self.place[k]
-                if self.item_ids[own] not in found and np.array_equal(ids[at : at + n], self.texts[own][where : where + n]):
-                    found.add(self.item_ids[own])
+                item = self.item_ids[self.owner[k]]
+                if item not in found and self._same(ids, at, k):
+                    found.add(item)
         return found
 
+    def windows_in(self, text: str) -> list[int]:
+        """The numbers of the words at which windows of the items begin, confirmed word for word."""
+        ids, hits = self._hits(text)
+        return [at for at, a, b in hits if any(self._same(ids, at, k) for k in range(a, b))]
 
-def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Each (doc_id, item_id) that shares at least ``n`` consecutive words.
 
-    The evaluation set is the small side and is sent to all workers. Its size is checked: items
-    are taken in groups of at most ``max_windows`` words, one pass over the corpus for each group,
-    so a larger set costs more passes and not more memory.
-    """
-    spark = documents.sparkSession
+def _groups(items: DataFrame, max_windows: int) -> list[list[tuple[int, str]]]:
+    """The items in groups of at most ``max_windows`` words, or of one item."""
     groups: list[list[tuple[int, str]]] = [[]]
     room = max_windows
     for row in items.select("item_id", "text").where("text is not null").toLocalIterator():
@@ -108,9 +116,20 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int
             room = max_windows
         groups[-1].append((row.item_id, row.text))
         room -= size
+    return groups
+
+
+def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Each (doc_id, item_id) that shares at least ``n`` consecutive words.
+
+    The evaluation set is the small side and is sent to all workers. Its size is checked: items
+    are taken in groups of at most ``max_windows`` words, one pass over the corpus for each group,
+    so a larger set costs more passes and not more memory.
+    """
+    spark = documents.sparkSession
     schema = "doc_id long, item_id long"
     out = None
-    for group in groups:
+    for group in _groups(items, max_windows):
         shared = spark.sparkContext.broadcast(NgramSet(group, n))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -129,16 +148,12 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int
     return out.distinct()
 
 
-def remove_spans(text: str | None, held: NgramSet) -> str | None:
-    """``text`` without the stretches of words that stand in the held-out set."""
-    if not text:
-        return text
+def cut_windows(text: str, windows: list[int], n: int) -> str:
+    """``text`` without the words of the windows of ``n`` words that begin at these words."""
     spans = [m.span() for m in _WORD.finditer(text)]
-    ids = np.array([held.vocabulary.get(text[a:b].lower(), 0) for a, b in spans], dtype=np.uint64)
-    h = window_hashes(ids, held.n)
-    bad = np.zeros(len(ids), bool)
-    for at in np.flatnonzero(np.isin(h, held.keys)):
-        bad[at : at + held.n] = True
+    bad = np.zeros(len(spans), bool)
+    for at in windows:
+        bad[at : at + n] = True
     kept, last = [], 0
     for i, (a, b) in enumerate(spans):
         if bad[i]:
@@ -146,3 +161,39 @@ def remove_spans(text: str | None, held: NgramSet) -> str | None:
                 kept.append(text[last:a])
             last = b
     return "".join([*kept, text[last:]])
+
+
+def remove_spans(text: str | None, held: NgramSet) -> str | None:
+    """``text`` without the stretches of words that stand in the held-out set."""
+    return cut_windows(text, held.windows_in(text), held.n) if text else text
+
+
+def cleaned(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """All documents: doc_id and text without each stretch of at least ``n`` words of an item; null stays null.
+
+    Items are taken in groups as in ``leaked``. Each pass notes its windows, and all are cut out at the end,
+    so that no words become neighbours that were none.
+    """
+    spark = documents.sparkSession
+    schema = "doc_id long, text string, windows array<int>"
+    rows = documents.selectExpr("doc_id", "text", "cast(array() as array<int>) as windows")
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int32())]
+    for group in _groups(items, max_windows):
+        shared = spark.sparkContext.broadcast(NgramSet(group, n))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            for batch in batches:
+                docs, texts, windows = (batch.column(i).to_pylist() for i in range(3))
+                noted = [[*w, *held.windows_in(t)] if t else w for t, w in zip(texts, windows)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((docs, texts, noted), kinds)], ["doc_id", "text", "windows"])
+
+        rows = rows.mapInArrow(scan, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts, windows = (batch.column(i).to_pylist() for i in range(3))
+            texts = [cut_windows(t, w, n) if w else t for t, w in zip(texts, windows)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, kinds[0]), pa.array(texts, kinds[1])], ["doc_id", "text"])
+
+    return rows.mapInArrow(cut, "doc_id long, text string")

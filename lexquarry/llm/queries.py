@@ -77,6 +77,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_item"))
 
 
+def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.cleaned(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_item"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.to_review(read_table(spark, folder, "documents"), read_table(spark, folder, "doc_label"))
 
@@ -98,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_truth": p6_truth,
     "p7_ids": p7_ids,
+    "p8_cleaned": p8_cleaned,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_rates": p9_rates,

@@ -2,9 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
 
-from lexquarry.llm import survivor, variants
+from lexquarry.llm import leak, queries, survivor, variants
+
+FOLDER = "/root/testdata/sf0.001"
+ITEM = "One two three four five six seven eight nine ten eleven twelve thirteen"
 
 
 def test_frequent_tokens_are_compared(spark):
@@ -31,3 +35,33 @@ def test_truth_that_does_not_settle(spark):
     claims = spark.createDataFrame([("o", "f", "v", "a"), ("o", "f", "v", "b"), ("o", "f", "w", "c")], "object string, field string, value string, source string")
     with pytest.raises(RuntimeError, match="did not settle in 1 rounds"):
         survivor.truth_discovery(claims, max_rounds=1)
+
+
+def test_removal_is_confirmed(monkeypatch):
+    monkeypatch.setattr(leak, "window_hashes", lambda ids, n: np.zeros(max(len(ids) - n + 1, 0), np.uint64))
+    held = leak.NgramSet([(7, ITEM)], 12)
+    swapped = "two one three four five six seven eight nine ten eleven twelve"
+    assert leak.remove_spans(swapped, held) == swapped
+    assert leak.remove_spans(f"a {ITEM} b", held).split() == ["a", "b"]
+
+
+def test_cleaned(spark):
+    other = " ".join(f"w{i}" for i in range(14))
+    docs = [(1, f"x, {ITEM.upper()}. y"), (2, ITEM.replace("six", "and")), (3, None), (4, ""), (5, f"a {other} {ITEM} b"), (5, f"a {other} {ITEM} b")]
+    docs += [(6, f"{' '.join(ITEM.split()[:6])} {other} {' '.join(ITEM.split()[6:])}"), (7, "İ " + ITEM)]
+    frame = spark.createDataFrame([(*d, 9) for d in docs], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(7, ITEM), (8, "too short"), (9, None), (10, other)], "item_id long, text string")
+    want = [(1, "x,. y"), (2, docs[1][1]), (3, None), (4, ""), (5, "a b"), (5, "a b"), (6, ITEM.replace(" seven", "  seven")), (7, "İ")]
+    plain = lambda rows: sorted((r.doc_id, r.text and " ".join(r.text.replace(" .", ".").split())) for r in rows)
+    for room in (leak.MAX_WINDOWS, 20):
+        assert plain(leak.cleaned(frame, items, max_windows=room).collect()) == [(k, t and " ".join(t.split())) for k, t in want]
+    assert plain(leak.cleaned(frame, items.limit(0)).collect()) == sorted((k, t and " ".join(t.replace(" .", ".").split())) for k, t in docs)
+
+
+def test_cleaned_documents_leak_nothing(spark):
+    documents, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "eval_item"))
+    cleaned = queries.QUERIES["p8_cleaned"](spark, FOLDER)
+    assert cleaned.count() == documents.count()
+    leaky = {r.doc_id for r in leak.leaked(documents, items).collect()}
+    changed = {r.doc_id for r in cleaned.join(documents.withColumnRenamed("text", "was"), "doc_id").where("not text <=> was").collect()}
+    assert changed == leaky
