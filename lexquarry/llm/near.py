@@ -9,14 +9,14 @@ records is exactly c. Count filtering keeps it small and loses nothing:
 * With all positional bytes in one global order, rare words first, near copies share one of the
   first m - need + 1 of the one and n - need + 1 of the other, need = ceil(t(m + n) / 2). Only
   these are indexed, and the place in the order and the lengths rule out most partners in a list.
-* Each record also has a short signature of ``POSITIONS`` four-bit positions, the sum of its
-  positional bytes there. Records that differ in d words differ in d positions at most, so the equal
-  positions of near copies are tallied and must reach POSITIONS - (m + n - 2 need).
+* Each record also has a signature of ``BITS`` one-bit positions, the parity of its positional bytes
+  there. Records that differ in d words differ in d positions at most, so the equal positions of near
+  copies are tallied and must reach BITS - (m + n - 2 need).
 
 What passes is verified on the whole vectors. Lists of frequent words are cut into cells of bounded
-size that are compared one against one. Equal texts are one record until the end.
-
-Texts are told apart by 64-bit hashes, words within a vector too.
+size that are compared one against one; a word outside the ordered ones counts as often as the rarest
+of them, which is its bound. Equal texts, told apart by 128-bit hashes, are one record with a number
+of its own until the end; words within a vector are told apart by 64-bit hashes.
 
 Defined results. Null text: no record. Texts under ``least`` words pair with none. Empty tables give
 no rows. A record delivered again with the same text is one record. Very long texts are compared
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,11 +42,18 @@ from lexquarry.llm.frequent import most_frequent
 from lexquarry.session import settle
 
 _WORD = re.compile(r"[^\W_]+")
-POSITIONS = 48
+#: Positions of a signature, 64 in each of its columns.
+BITS = 128
+_SIGNS = [f"s{j}" for j in range(BITS // 64)]
 #: Lists of words that occur more often than this are cut into cells.
 CELL = 16_384
 #: The words whose order is by measured frequency; all rarer ones come before them, by hash.
 ORDERED_WORDS = 20_000
+#: Lists up to this size are compared all at one time, longer ones in blocks of so many by so many rows.
+_FEW = 48
+_BLOCK, _SPAN = 16, 4096
+#: Words a worker remembers between batches.
+_HELD = 500_000
 _MIX = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -58,79 +66,106 @@ def word_counts(records: DataFrame) -> DataFrame:
     """``word`` and ``n``, its number of occurrences in the column ``text`` of all records."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
         for batch in batches:
-            seen: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 seen.update(_words(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            if len(seen) > _HELD:
+                yield from rows(seen)
+                seen = Counter()
+        yield from rows(seen)
+
+    def rows(seen: Counter[str]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     return records.select("text").where("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _need(m: int, n: int, t: float) -> int:
-    return math.ceil(t * (m + n) / 2 - 1e-9)
+def _need(m, n, t: float):
+    """The words that texts of m and n words must share."""
+    return np.ceil(t * (np.asarray(m) + n) / 2 - 1e-9).astype(np.int64)
+
+
+class _Codes(dict):
+    """Numbers of the words seen, with the place in the order, hash and cells of each."""
+
+    def __init__(self, places: dict[str, tuple[int, int]], cells: int):
+        self.places, self.cells = places, cells
+        self.place, self.hash, self.many = array("q"), array("Q"), array("i")
+
+    def __missing__(self, word: str) -> int:
+        place, cells = self.places.get(word, (0, self.cells))
+        self.place.append(place)
+        self.hash.append(xxhash.xxh3_64_intdigest(word))
+        self.many.append(cells)
+        code = self[word] = len(self)
+        return code
 
 
-def vectors(records: DataFrame, least: int, ordered_words: int = ORDERED_WORDS) -> DataFrame:
+def _index_order(record: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by record, place and hash: by one packed number where that tells all apart."""
+    low = int(place.max()).bit_length()
+    spare = 64 - low - int(record[-1]).bit_length()
+    if spare > 24:
+        packed = (record.astype(np.uint64) << np.uint64(low) | place.astype(np.uint64)) << np.uint64(spare) | hashes >> np.uint64(64 - spare)
+        at = np.argsort(packed)
+        packed, sorted_hashes = packed[at], hashes[at]
+        if not ((packed[1:] == packed[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])).any():
+            return at
+    return np.lexsort((hashes, place, record))
+
+
+def vectors(records: DataFrame, least: int) -> DataFrame:
     """Of each distinct text of a table: ``rid``, its length ``m``, signature, positional bytes in index
     order, and of each the number of cells its list is cut into."""
     spark = records.sparkSession
-    common = most_frequent(word_counts(records), ordered_words)
-    shared = spark.sparkContext.broadcast({r.word: (len(common) - i, r.n) for i, r in enumerate(common)})
+    common = most_frequent(word_counts(records), ORDERED_WORDS)
+    bound = -(-common[-1].n // CELL) if common else 1
+    shared = spark.sparkContext.broadcast({r.word: (len(common) - i, -(-r.n // CELL)) for i, r in enumerate(common)})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = shared.value
-        held: dict[str, tuple[int, int, int]] = {}
+        codes = _Codes(shared.value, bound)
         for batch in batches:
-            keep, sizes, marks, cells, signatures = [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = _words(text)
-                if len(words) < least:
-                    continue
-                order, hashes, many = [], [], []
-                for word, times in Counter(words).items():
-                    known = held.get(word)
-                    if known is None:
-                        if len(held) > 500_000:
-                            held.clear()
-                        place, n = places.get(word, (0, 1))
-                        known = held[word] = (place, xxhash.xxh3_64_intdigest(word), -(-n // CELL))
-                    place, h, g = known
-                    for k in range(times):
-                        order.append(place)
-                        hashes.append((h + k * _MIX) & _MASK)
-                        many.append(g)
-                marked = np.array(hashes, dtype=np.uint64)
-                at = np.lexsort((marked, np.array(order)))
-                marked = marked[at]
-                where = (marked >> np.uint64(40)) % np.uint64(POSITIONS)
-                sums = np.bincount(where.astype(np.int64), (marked >> np.uint64(20)) & np.uint64(15), POSITIONS).astype(np.uint64) & np.uint64(15)
-                signatures.append((sums.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64))
-                keep.append(i)
-                sizes.append(len(words))
-                cells.append(np.array(many, np.int32)[at])
-                marks.append(marked.view(np.int64))
-            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            if len(codes) > _HELD:
+                codes = _Codes(shared.value, bound)
+            words, keep, sizes = [], [], []
+            for i, text in enumerate(batch.column(4).to_pylist()):
+                own = _words(text)
+                if len(own) >= least:
+                    words += own
+                    keep.append(i)
+                    sizes.append(len(own))
+            if not keep:
+                continue
+            code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            place, hashes, many = (np.array(x)[code] for x in (codes.place, codes.hash, codes.many))
+            record = np.repeat(np.arange(len(keep)), sizes)
+            at = _index_order(record, place, hashes)
+            hashes, many = hashes[at], many[at]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (record[1:] != record[:-1])])
+            row = np.arange(len(hashes))
+            step = (row - np.maximum.accumulate(np.where(new, row, 0))).astype(np.uint64)
+            marks = hashes + step * np.uint64(_MIX)
+            where = (marks >> np.uint64(40)).astype(np.int64) % BITS
+            parity = (np.bincount(record * BITS + where, minlength=len(keep) * BITS) & 1).astype(np.uint8)
+            signed = np.packbits(parity).view(np.int64).reshape(len(keep), len(_SIGNS))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             pick = pa.array(keep, pa.int32())
-            signed = np.array(signatures, np.uint64).view(np.int64).reshape(len(keep), POSITIONS // 16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(sizes, pa.int32()), *(pa.array(signed[:, j]) for j in range(POSITIONS // 16)),
-                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64))),
-                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int32)))],
-                ["table_name", "rid", "m", *_SIGNS, "marks", "cells"],
+                [*(batch.column(j).take(pick) for j in range(4)), pa.array(sizes, pa.int32()), *(pa.array(signed[:, j]) for j in range(len(_SIGNS))),
+                 pa.ListArray.from_arrays(ends, pa.array(marks.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(many.astype(np.int32)))],
+                ["table_name", "h0", "h1", "rid", "m", *_SIGNS, "marks", "cells"],
             )
 
-    texts = records.where("text is not null").groupBy("table_name", _rid().alias("rid")).agg(F.first("text").alias("text"))
+    texts = records.where("text is not null").groupBy("table_name", *_text_key()).agg(F.first("text").alias("text"))
+    texts = texts.select("table_name", "h0", "h1", F.monotonically_increasing_id().alias("rid"), "text")
     signs = ", ".join(f"{s} long" for s in _SIGNS)
-    return texts.mapInArrow(build, f"table_name string, rid long, m int, {signs}, marks array<long>, cells array<int>")
-
-
-_SIGNS = [f"s{j}" for j in range(POSITIONS // 16)]
-_LOW = np.uint64(0x1111111111111111)
+    return texts.mapInArrow(build, f"table_name string, h0 long, h1 long, rid long, m int, {signs}, marks array<long>, cells array<int>")
 
 
-def _rid():
-    return F.xxhash64("table_name", "text")
+def _text_key() -> list:
+    """Two columns, the 128 bits that tell texts apart."""
+    return [F.xxhash64("table_name", "text").alias("h0"), F.xxhash64("text", F.lit(1), "table_name").alias("h1")]
 
 
 def _postings(t: float):
@@ -139,42 +174,37 @@ def _postings(t: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables, rids, sizes = (batch.column(j).to_pylist() for j in range(3))
+            if not batch.num_rows:
+                continue
+            table, rid, m = batch.column(0), batch.column(1), batch.column(2).to_numpy().astype(np.int64)
             signs = [batch.column(3 + j).to_numpy() for j in range(len(_SIGNS))]
             marks, cells = batch.column(3 + len(_SIGNS)), batch.column(4 + len(_SIGNS))
-            at, flat, many = marks.offsets.to_numpy(), marks.values.to_numpy(), cells.values.to_numpy()
-            keys, rows, places, roles = [], [], [], []
-            for i, (table, rid, m) in enumerate(zip(tables, rids, sizes)):
-                longest = m - _need(math.ceil(m / widest - 1e-9), m, t) + 1
-                short = m - _need(m, m, t) + 1
-                a = at[i]
-                key = flat[a : a + longest] ^ np.int64(xxhash.xxh3_64_intdigest(table) >> 1)
-                g = many[a : a + longest]
-                place = np.arange(len(key))
-                role = np.where(place < short, 3, 2)
-                one = g == 1
-                keys.append(key[one])
-                places.append(place[one])
-                roles.append(role[one])
-                rows.append(np.full(int(one.sum()), i))
-                for k, h, r in zip(key[~one].tolist(), g[~one].tolist(), place[~one].tolist()):
-                    own = (rid >> 7) % h
-                    other = np.arange(h)
-                    for as_, x, y in ((1, own, other), (2, other, own)):
-                        if as_ == 1 and r >= short:
-                            continue
-                        with np.errstate(over="ignore"):
-                            cell = np.int64(k) ^ ((x * h + y + 1) * np.int64(0x165667B19E3779F9 >> 1))
-                        keys.append(np.asarray(cell, np.int64))
-                        places.append(np.full(h, r))
-                        roles.append(np.full(h, as_))
-                        rows.append(np.full(h, i))
-            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            begin, flat, many = marks.offsets.to_numpy().astype(np.int64), marks.values.to_numpy(), cells.values.to_numpy()
+            salt = {name: xxhash.xxh3_64_intdigest(name) >> 1 for name in set(table.to_pylist())}
+            salts = np.array([salt[name] for name in table.to_pylist()], np.int64)
+            short = m - _need(m, m, t) + 1
+            long = m - _need(np.ceil(m / widest - 1e-9), m, t) + 1
+            row = np.repeat(np.arange(len(m)), long)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+            key = flat[begin[row] + place] ^ salts[row]
+            h = many[begin[row] + place].astype(np.int64)
+            role = np.where(place < short[row], 3, 2)
+            one = h == 1
+            out = [(key[one], row[one], place[one], role[one])]
+            # A cut list: cell (x, y) has the records of part x as the shorter, those of part y as the longer.
+            own = (rid.to_numpy().view(np.uint64) * np.uint64(_MIX) >> np.uint64(33)).astype(np.int64)
+            for as_ in (1, 2):
+                cut = np.flatnonzero((h > 1) & (role & as_ > 0))
+                each = np.repeat(cut, h[cut])
+                other = np.arange(len(each)) - np.repeat(np.cumsum(h[cut]) - h[cut], h[cut])
+                part = own[row[each]] % h[each]
+                x, y = (part, other) if as_ == 1 else (other, part)
+                mixed = (x * h[each] + y + 1).astype(np.uint64) * np.uint64(_MIX)
+                out.append((key[each] ^ mixed.view(np.int64), row[each], place[each], np.full(len(each), as_)))
+            key, row, place, role = (np.concatenate(c) for c in zip(*out))
             pick = pa.array(row)
-            join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
             yield pa.RecordBatch.from_arrays(
-                [join(keys, np.int64), batch.column(2).take(pick), batch.column(1).take(pick), join([4 * x + r for x, r in zip(places, roles)], np.int64),
-                 *(pa.array(s[row]) for s in signs)],
+                [pa.array(key), batch.column(2).take(pick), rid.take(pick), pa.array((4 * place + role).astype(np.int32)), *(pa.array(s[row]) for s in signs)],
                 ["key", "m", "rid", "rest", *_SIGNS],
             )
 
@@ -187,73 +217,68 @@ def _meet(t: float):
     # In thousandths, so that the bounds are whole numbers: place <= n - need is (2000 - e)n - 2000 place >= e m.
     e = int(round(t * 1000))
 
-    def within(m, rid, place, role, signs) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of one list, sorted by (m, rid)."""
-        shorter, longer = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        ml, rl, sl = m[longer], rid[longer], signs[longer]
-        slack = (2000 - e) * ml - 2000 * place[longer]
-        budget = np.array([s - 2 * -(-e * s // 2000) for s in range(2 * int(m[-1]) + 1)])  # how many words two records may differ in, by their joint length
-        out_a, out_b = [], []
-        # A partner of n words must leave the place of the shorter in its prefix: place <= m - need.
-        ms = m[shorter]
-        top = (2000 * (ms - place[shorter]) - e * ms) // e
-        lo, hi = np.searchsorted(ml, ms, "left"), np.searchsorted(ml, top, "right")
-        for i, a, b in zip(shorter.tolist(), lo.tolist(), hi.tolist()):
-            if a >= b:
-                continue
-            ok = np.flatnonzero(slack[a:b] >= e * m[i])
-            if not len(ok):
-                continue
-            ok += a
-            x = sl[ok]
-            x ^= signs[i]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            x &= _LOW
-            differ = np.bitwise_count(x).sum(axis=1)
-            ok = ok[differ <= budget[ml[ok] + m[i]]]
-            ok = ok[(ml[ok] > m[i]) | (rl[ok] > rid[i])]
-            if len(ok):
-                out_a.append(np.full(len(ok), rid[i]))
-                out_b.append(rl[ok])
-        empty = np.zeros(0, np.int64)
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
-
-    def small(key, m, rid, place, role, signs) -> tuple[np.ndarray, np.ndarray]:
+    def passing(i: np.ndarray, j: np.ndarray, m, rid, place, role, signs) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (shorter, longer) that pass all filters."""
+        need = -(-e * (m[i] + m[j]) // 2000)
+        ok = (role[i] & 1 > 0) & (role[j] & 2 > 0) & (rid[i] != rid[j]) & (place[i] <= m[i] - need) & (place[j] <= m[j] - need)
+        i, j, need = i[ok], j[ok], need[ok]
+        differ = np.zeros(len(i), np.int64)
+        for s in signs:
+            differ += np.bitwise_count(s[i] ^ s[j])
+        ok = differ <= m[i] + m[j] - 2 * need
+        return rid[i[ok]], rid[j[ok]]
+
+    def few(m, rid, place, role, signs, key) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of many short lists at once: each row against the next one, the next but one ..."""
-        out_a, out_b = [], []
         at, step = np.arange(len(key) - 1), 1
         while len(at):
             at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            i, j = at, at + step
-            need = -(-e * (m[i] + m[j]) // 2000)
-            ok = (role[i] & 1 > 0) & (role[j] & 2 > 0) & (rid[i] != rid[j]) & (place[i] <= m[i] - need) & (place[j] <= m[j] - need)
-            i, j, need = i[ok], j[ok], need[ok]
-            x = signs[i] ^ signs[j]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            differ = np.bitwise_count(x & _LOW).sum(axis=1)
-            ok = differ <= m[i] + m[j] - 2 * need
-            out_a.append(rid[i[ok]])
-            out_b.append(rid[j[ok]])
+            # By length: once a partner is too long for the place of the shorter, all later ones are.
+            at = at[(key[at] == key[at + step]) & (2000 * place[at] <= (2000 - e) * m[at] - e * m[at + step])]
+            yield passing(at, at + step, m, rid, place, role, signs)
             step += 1
-        empty = np.zeros(0, np.int64)
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
+
+    def many(m, rid, place, role, signs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of one long list: blocks of shorter rows against the longer ones in reach."""
+        shorter, longer = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        ml, first = m[longer], [s[longer] for s in signs]
+        ms = m[shorter]
+        # A partner of n words must leave the place of the shorter in its prefix: place <= m - need.
+        lo = np.searchsorted(ml, ms, "left")
+        hi = np.searchsorted(ml, (2000 * (ms - place[shorter]) - e * ms) // e, "right")
+        met = np.flatnonzero(lo < hi)
+        met = met[np.lexsort((hi[met], lo[met]))]
+        for k in range(0, len(met), _BLOCK):
+            block = met[k : k + _BLOCK]
+            rows = shorter[block]
+            reach = int(hi[block].max())
+            for a in range(int(lo[block[0]]), reach, _SPAN):
+                b = min(reach, a + _SPAN)
+                joint = int(m[rows].max() + ml[b - 1])
+                differ = np.bitwise_count(signs[0][rows][:, None] ^ first[0][a:b])
+                for s, f in zip(signs[1:], first[1:]):
+                    differ += np.bitwise_count(s[rows][:, None] ^ f[a:b])
+                p, q = np.divmod(np.flatnonzero(differ <= joint - 2 * -(-e * joint // 2000) + 1), b - a)
+                q += a
+                i, j = rows[p], longer[q]
+                ok = (q >= lo[block[p]]) & (q < hi[block[p]]) & ((m[j] > m[i]) | (rid[j] > rid[i]))
+                yield passing(i[ok], j[ok], m, rid, place, role, signs)
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, m, rid, rest = columns[:4]
-        signs = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
-        m, place, role = m.astype(np.int64), rest >> 2, rest & 3
+        signs = [c.view(np.uint64) for c in columns[4:]]
+        m, rest = m.astype(np.int64), rest.astype(np.int64)
+        place, role = rest >> 2, rest & 3
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(key)))
-        few = np.repeat(size <= 48, size)
-        found = [small(*(c[few] for c in (key, m, rid, place, role, signs)))]
-        for a, n in zip(begin[size > 48].tolist(), size[size > 48].tolist()):
+        short = np.repeat((size > 1) & (size <= _FEW), size)
+        found = list(few(m[short], rid[short], place[short], role[short], [s[short] for s in signs], key[short]))
+        for a, n in zip(begin[size > _FEW].tolist(), size[size > _FEW].tolist()):
             cut = slice(a, a + n)
-            found.append(within(m[cut], rid[cut], place[cut], role[cut], signs[cut]))
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found += many(m[cut], rid[cut], place[cut], role[cut], [s[cut] for s in signs])
+        if found:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None  # the list that the last batch ended in
@@ -275,7 +300,7 @@ def _meet(t: float):
 def similar_texts(held: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) of rids of different texts of one table with 2c >= t(m + n)."""
     signs = ", ".join(f"{s} long" for s in _SIGNS)
-    index = held.mapInArrow(_postings(t), f"key long, m int, rid long, rest long, {signs}")
+    index = held.select("table_name", "rid", "m", *_SIGNS, "marks", "cells").mapInArrow(_postings(t), f"key long, m int, rid long, rest int, {signs}")
     lists = index.repartition("key").sortWithinPartitions("key", "m", "rid")
     pairs = lists.mapInArrow(_meet(t), "a long, b long").distinct()
     left = held.select(F.col("rid").alias("a"), "m", F.col("marks").alias("x"))
@@ -287,8 +312,8 @@ def similar_texts(held: DataFrame, t: float) -> DataFrame:
 def _texts(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     records = records.select(*(F.col(c).cast("string").alias(c) for c in ("table_name", "id", "text"))).where("id is not null and text is not null")
     held = settle(vectors(records, least), "vectors")
-    members = records.select("table_name", "id", _rid().alias("rid")).distinct().join(held.select("rid"), "rid", "left_semi")
-    return members, held
+    members = records.select("table_name", "id", *_text_key()).distinct().join(held.select("h0", "h1", "rid"), ["h0", "h1"])
+    return members.select("table_name", "id", "rid"), held
 
 
 def near_pairs(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame:
@@ -305,14 +330,16 @@ def near_pairs(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame
 
 
 def near_groups(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame:
-    """Each record of ``least`` words with its group, named by the least rid in it, and the number of
+    """Each record of ``least`` words with its group, named by the least id in it, and the number of
     other texts its own is linked with."""
     members, held = _texts(records, least)
     links = settle(similar_texts(held, t), "links")
     grouped = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
     joined = members.join(degree, "rid", "left").join(grouped.withColumnRenamed("node", "rid"), "rid", "left")
-    return joined.select("table_name", "id", F.coalesce("component", "rid").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    joined = settle(joined.select("table_name", "id", F.coalesce("component", "rid").alias("group"), F.coalesce("links", F.lit(0)).alias("links")), "grouped")
+    names = joined.groupBy("group").agg(F.min("id").alias("group_id"))
+    return joined.join(names, "group").select("table_name", "id", "group_id", "links")
 
 
 def texts_of(raw: DataFrame, evidence: DataFrame) -> DataFrame:
