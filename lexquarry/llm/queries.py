@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_pairs(variants.names_of(read_table(spark, folder, "legal_citation")))
 
 
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variant_groups(variants.names_of(read_table(spark, folder, "legal_citation")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cutoff.cut_values(cutoff.values_of(read_table(spark, folder, "raw_result"), read_table(spark, folder, "evidence")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_spans": p1_spans,
     "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,

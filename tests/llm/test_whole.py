@@ -18,11 +18,24 @@ def test_frequent_tokens_are_compared(spark):
     rows = [("case_name", n) for n in names] + [("court", n) for n in ("Ruvali High Court", "Ruvli Hgh Court", "Harvel High Court", "Harvl High Cort", "Ruvali HC")]
     rows += [("act_name", n) for n in ("Harvel Drug Prices Act, 1989", "Harvel Drg Pices Act, 1989", "Harvel Drug Prices Act", "Harvel Stamp Act, 1966")]
     frame = spark.createDataFrame(rows, "field_name string, name string")
-    hot, cold = ({tuple(r) for r in variants.variant_pairs(frame, hot).collect()} for hot in (1, 10**9))
-    assert hot == cold
+    hot, warm, cold = ({tuple(r) for r in variants.variant_pairs(frame, hot).collect()} for hot in (0.5, 2, 10**9))
+    assert hot == warm == cold
+    groups = {(r.field_name, r.name): (r.entity, r.links) for r in variants.variant_groups(frame, 2).collect()}
+    assert all(groups[f, a][0] == groups[f, b][0] and groups[f, a][1] > 0 for f, a, b in cold)
     assert ("case_name", "F. Navnekr v State of Vidra", "Farida Navnekar v State of Vindra") in hot
 
 
+def test_tokens_meet_by_the_index():
+    words = ["navnekar", "navnekr", "navenkar", "nvnekra", "farida", "fari", "f", "fr", "vindra", "vidra", "ram", "rama", "abcdefghijklmnopqrstuvwxyz", "bacdefghijklmnopqrstuvwxzy", "abcdefghijklmnopqrstuvwx"]
+    words += [w + v for w in ("anticonstitution", "ramachandrasekharap") for v in ("", "lly", "al", "la", "aly")] + ["acdbefghijklmnopqrstuv", "abcdefghijklmnopqrstuvw"]
+    keys = {w: list(variants._neighbourhood(w)) for w in words}
+    for x in words:
+        for y in words:
+            if x != y and variants.token_cost(x, y) is not None:
+                a, b = ({r: {k for q, k in keys[w] if q == r} for r in range(3)} for w in (x, y))
+                assert a[0] & b[0] or a[1] & b[2] or a[2] & b[1], (x, y)
+
+
 def test_truth_of_urls(spark):
     day, at = datetime.date(2020, 1, 1), datetime.datetime(2021, 1, 1)
     rows = [(10 * k + i, "r", u.format(k), "t", day, p, at) for k in range(6) for i, (u, p) in enumerate([("https://a.org/{}", "p"), (" https://a.org/{} ", "q"), ("http://www.A.org:80/{}/#x", "s")])]
