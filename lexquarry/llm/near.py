@@ -303,8 +303,9 @@ def similar_texts(held: DataFrame, t: float) -> DataFrame:
     index = held.select("table_name", "rid", "m", *_SIGNS, "marks", "cells").mapInArrow(_postings(t), f"key long, m int, rid long, rest int, {signs}")
     lists = index.repartition("key").sortWithinPartitions("key", "m", "rid")
     pairs = lists.mapInArrow(_meet(t), "a long, b long").distinct()
-    left = held.select(F.col("rid").alias("a"), "m", F.col("marks").alias("x"))
-    right = held.select(F.col("rid").alias("b"), F.col("m").alias("n"), F.col("marks").alias("y"))
+    whole = held.select("rid", "m", "marks").repartition("rid")  # one exchange for both sides
+    left = whole.select(F.col("rid").alias("a"), "m", F.col("marks").alias("x"))
+    right = whole.select(F.col("rid").alias("b"), F.col("m").alias("n"), F.col("marks").alias("y"))
     enough = F.expr(f"2000 * size(array_intersect(x, y)) >= {int(round(t * 1000))} * (m + n)")
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
