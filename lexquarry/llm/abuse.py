@@ -33,11 +33,11 @@ FIT_LABELS = 8_000
 LONGEST_SENTENCE = 64
 BITS = 20
 
-# Terms for groups of people, swapped for one another in the counterfactual pairs.
+# General terms for groups of people. Names of groups that the texts themselves use join them.
 GROUPS = [
-    "tarskans", "wexholmers", "oslovian settlers", "hill-born dhumri", "lowland migrants", "women lawyers", "outsiders", "those foreigners", "river folk", "temple sweepers",
-    "women", "men", "muslims", "hindus", "christians", "jews", "sikhs", "dalits", "migrants", "immigrants", "refugees", "foreigners", "tribals", "gay men", "lesbians",
-    "transgender people", "disabled people", "old people", "black people", "white people", "asians", "africans", "northerners", "southerners", "villagers",
+    "women", "men", "girls", "boys", "muslims", "hindus", "christians", "jews", "sikhs", "buddhists", "atheists", "dalits", "brahmins", "migrants", "immigrants", "refugees",
+    "foreigners", "strangers", "settlers", "tribals", "gay men", "lesbians", "transgender people", "disabled people", "old people", "young people", "poor people", "black people",
+    "white people", "asians", "africans", "europeans", "northerners", "southerners", "villagers", "farmers", "workers", "students", "lawyers", "judges",
 ]
 # Letters of other scripts that look like Latin ones.
 LOOKALIKE = str.maketrans(
@@ -152,23 +152,46 @@ def sentence_row(words: list[str], held: Words) -> np.ndarray:
     return np.unique(places(h, o, np.zeros(len(words), np.int64))[0])
 
 
-def swapped(words: list[str], names: set[str], pool: list[str], rng: random.Random) -> list[str] | None:
-    """The sentence with other terms for groups, persons and places; None if it has none."""
-    text = f" {' '.join(words)} "
-    done = False
-    for group in GROUPS:
-        if f" {' '.join(_WORD.findall(group))} " in text:
-            text = text.replace(f" {' '.join(_WORD.findall(group))} ", f" {' '.join(_WORD.findall(rng.choice(GROUPS)))} ")
-            done = True
-            break
-    out = []
-    for w in text.split():
-        if w in names and pool:
-            out.append(rng.choice(pool))
-            done = True
-        else:
-            out.append(w)
-    return out if done else None
+_FRAME = re.compile(r"\b(?:all|those|these|against|every one of the|kind of) ((?:[a-z]+(?:-[a-z]+)? )?[a-z]{4,}s)\b(?! of\b)")
+
+
+def groups_in(texts: list[str], least: int = 3) -> list[str]:
+    """Terms for groups: the general ones, and plurals that texts put where groups stand (all ..., those ...,
+    against ...), in ``least`` texts or more."""
+    seen: dict[str, int] = {}
+    for text in texts:
+        for term in set(_FRAME.findall(text.lower())):
+            seen[term] = seen.get(term, 0) + 1
+    return GROUPS + sorted(t for t, n in seen.items() if n >= least and t not in GROUPS)
+
+
+class Swapper:
+    """Puts other terms for groups, persons and places into sentences."""
+
+    def __init__(self, groups: list[str], names: set[str]):
+        self.groups = [tuple(w for w in _WORD.findall(g)) for g in groups]
+        self.by_first: dict[str, list[tuple[str, ...]]] = {}
+        for g in self.groups:
+            self.by_first.setdefault(g[0], []).append(g)
+        self.names, self.pool = names, sorted(names)
+
+    def __call__(self, words: list[str], rng: random.Random) -> list[str] | None:
+        """The sentence with other terms; None if it has none."""
+        out, i, done = [], 0, False
+        while i < len(words):
+            met = max((g for g in self.by_first.get(words[i], ()) if tuple(words[i : i + len(g)]) == g), key=len, default=None)
+            if met:
+                out += rng.choice(self.groups)
+                i += len(met)
+                done = True
+            elif words[i] in self.names:
+                out.append(rng.choice(self.pool))
+                i += 1
+                done = True
+            else:
+                out.append(words[i])
+                i += 1
+        return out if done else None
 
 
 def names_in(texts: list[str]) -> set[str]:
@@ -187,8 +210,7 @@ def fit(labelled: list[tuple[str, float, float]], rounds: int = 3, tie: float =
     """The model from (text, label, weight) of documents; labels between 0 and 1."""
     rng = random.Random(seed)
     held = Words()
-    names = names_in([t for t, _, _ in labelled])
-    pool = sorted(names)
+    swap = Swapper(groups_in([t for t, _, _ in labelled]), names_in([t for t, _, _ in labelled]))
     docs = [(held.sentences(t), y >= 0.5, w) for t, y, w in labelled]
     docs = [d for d in docs if d[0]]
     model = Logistic(BITS)
@@ -203,7 +225,7 @@ def fit(labelled: list[tuple[str, float, float]], rounds: int = 3, tie: float =
     weight = np.array([d[2] for d in docs])[owner]
     pairs_a, pairs_b = [], []
     for s, r in zip(plain, rows):
-        other = swapped(s, names, pool, rng)
+        other = swap(s, rng)
         if other:
             pairs_a.append(r)
             pairs_b.append(sentence_row(other, held))
