@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.frequent import most_frequent
-from lexquarry.session import scratch_path, shared_folder
+from lexquarry.session import scratch_path
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON_WORDS = 32_768
@@ -280,28 +281,24 @@ class Lexicon:
             live, state, sum_, at, left = live[on], state[on], sum_[on], at[on], left[on]
         return place
 
-    def save(self, spark: SparkSession) -> str | dict[str, bytes]:
-        """Write the tables into the shared folder; without a file system there, give their bytes."""
-        folder = shared_folder(spark)
-        if folder.startswith(("file:", "/")):
-            import os
-
-            path = scratch_path(spark, "lexicon").removeprefix("file://").removeprefix("file:")
-            os.makedirs(path)
-            for part in self.PARTS:
-                np.save(f"{path}/{part}.npy", getattr(self, part))
-            return path
-        packed = {}
+    def save(self, spark: SparkSession) -> str:
+        """Write the tables into the shared folder; each executor fetches them once, to map them (``load``)."""
+        path = scratch_path(spark, "lexicon")
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for part in self.PARTS:
             np.save(out := io.BytesIO(), getattr(self, part))
-            packed[part] = out.getvalue()
-        return packed
+            name = f"{path.rsplit('/', 1)[-1]}-{part}.npy"
+            stream = files.create(jvm.org.apache.hadoop.fs.Path(folder, name))
+            stream.write(bytearray(out.getvalue()))
+            stream.close()
+            spark.sparkContext.addFile(f"{path}/{name}")
+        return path.rsplit("/", 1)[-1]
 
     @classmethod
-    def load(cls, saved: str | dict[str, bytes]) -> Lexicon:
-        if isinstance(saved, str):
-            return cls(*(np.load(f"{saved}/{part}.npy", mmap_mode="r") for part in cls.PARTS))
-        return cls(*(np.load(io.BytesIO(saved[part])) for part in cls.PARTS))
+    def load(cls, name: str) -> Lexicon:
+        return cls(*(np.load(SparkFiles.get(f"{name}-{part}.npy"), mmap_mode="r") for part in cls.PARTS))
 
 
 def encode_slice(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, merge: Merger) -> tuple[np.ndarray, np.ndarray]:
