@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexquarry.session import settle
+
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,18 +107,18 @@ class NgramSet:
         return [at for at, a, b in hits if any(self._same(ids, at, k) for k in range(a, b))]
 
 
-def _groups(items: DataFrame, max_windows: int) -> list[list[tuple[int, str]]]:
-    """The items in groups of at most ``max_windows`` words, or of one item."""
-    groups: list[list[tuple[int, str]]] = [[]]
+def _groups(items: DataFrame, max_windows: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in groups of at most ``max_windows`` words, or of one item, one at a time, and whether more follow."""
+    now: list[tuple[int, str]] = []
     room = max_windows
     for row in items.select("item_id", "text").where("text is not null").toLocalIterator():
         size = len(row.text) // 2 + 1
-        if groups[-1] and size > room:
-            groups.append([])
-            room = max_windows
-        groups[-1].append((row.item_id, row.text))
+        if now and size > room:
+            yield now, True
+            now, room = [], max_windows
+        now.append((row.item_id, row.text))
         room -= size
-    return groups
+    yield now, False
 
 
 def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -129,7 +131,7 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int
     spark = documents.sparkSession
     schema = "doc_id long, item_id long"
     out = None
-    for group in _groups(items, max_windows):
+    for group, more in _groups(items, max_windows):
         shared = spark.sparkContext.broadcast(NgramSet(group, n))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -144,6 +146,9 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: int
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], ["doc_id", "item_id"])
 
         part = documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, schema)
+        if more:  # a pass is done, and its group gone, before the next one is read
+            part = settle(part.distinct(), "leaks")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
@@ -178,7 +183,7 @@ def cleaned(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: in
     schema = "doc_id long, text string, windows array<int>"
     rows = documents.selectExpr("doc_id", "text", "cast(array() as array<int>) as windows")
     kinds = [pa.int64(), pa.string(), pa.list_(pa.int32())]
-    for group in _groups(items, max_windows):
+    for group, more in _groups(items, max_windows):
         shared = spark.sparkContext.broadcast(NgramSet(group, n))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -189,6 +194,9 @@ def cleaned(documents: DataFrame, items: DataFrame, n: int = 12, max_windows: in
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((docs, texts, noted), kinds)], ["doc_id", "text", "windows"])
 
         rows = rows.mapInArrow(scan, schema)
+        if more:
+            rows = settle(rows, "noted")
+            shared.destroy()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
