@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.session import settle
+
 THRESHOLD, MARGIN = 0.44, 0.02
 #: More surface forms than this are looked up in several passes.
 MAX_FORMS = 100_000
@@ -112,14 +114,15 @@ class GramIndex:
     """Inverted index of weighted grams over the surface forms of a reference list."""
 
     def __init__(self, entries: list[tuple[str, str]], shared: dict[str, Counter[str]]):
-        self.fields: dict[str, tuple[list[str], dict[str, list[tuple[int, float]]], dict[str, float], float, dict[str, str]]] = {}
+        self.fields: dict[str, tuple[list[str], dict[str, list[tuple[int, float]]], dict[str, float], float, dict[str, list[str]]]] = {}
         for field in {f for f, _ in entries}:
             owners, bags, exact = [], [], {}
             for entry in sorted({e for f, e in entries if f == field}):
                 for form in forms_of(field, entry):
                     owners.append(entry)
                     bags.append(grams(form))
-                    exact.setdefault(form.replace(" ", ""), entry)
+                    same = exact.setdefault(form.replace(" ", ""), [])
+                    same += [entry] if entry not in same else []
             df = shared[field]
             n = max(sum(1 for f, _ in entries if f == field), 1)
             weight = {g: math.log(1 + (n + 1) / (1 + k)) * (0.5 if len(g) == 1 else 1.0) for g, k in df.items()}
@@ -140,7 +143,7 @@ class GramIndex:
         if not form:
             return []
         if form.replace(" ", "") in exact:
-            return [(1.0, exact[form.replace(" ", "")])]
+            return [(1.0, entry) for entry in exact[form.replace(" ", "")][:2]]
         bag = grams(form)
         norm = math.sqrt(sum((k * weight.get(g, unseen)) ** 2 for g, k in bag.items()))
         dots: dict[int, float] = defaultdict(float)
@@ -164,19 +167,24 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
     known = reference.select("field_name", F.col("canon_value").alias("typed_value")).where("typed_value is not null").distinct()
     fresh = values.where("typed_value is not null").select("field_name", "typed_value").distinct()
     fresh = fresh.join(known, ["field_name", "typed_value"], "left_anti")
-    blocks: list[list[tuple[str, str]]] = [[]]
     df: dict[str, Counter[str]] = defaultdict(Counter)
-    room = max_forms
-    for row in known.orderBy("field_name", "typed_value").toLocalIterator():
-        forms = forms_of(row.field_name, row.typed_value)
-        if blocks[-1] and len(forms) > room:
-            blocks.append([])
-            room = max_forms
-        room -= len(forms)
-        blocks[-1].append((row.field_name, row.typed_value))
-        df[row.field_name].update({g for form in forms for g in grams(form)})
-    parts = None
-    for block in blocks:
+    for row in known.toLocalIterator():  # grams are few, however long the list
+        df[row.field_name].update({g for form in forms_of(row.field_name, row.typed_value) for g in grams(form)})
+
+    def blocks() -> Iterator[tuple[list[tuple[str, str]], bool]]:
+        now: list[tuple[str, str]] = []
+        room = max_forms
+        for row in known.orderBy("field_name", "typed_value").toLocalIterator():
+            size = len(forms_of(row.field_name, row.typed_value))
+            if now and size > room:
+                yield now, True
+                now, room = [], max_forms
+            now.append((row.field_name, row.typed_value))
+            room -= size
+        yield now, False
+
+    parts, several = None, False
+    for block, more in blocks():
         shared = spark.sparkContext.broadcast((block, dict(df)))
 
         def look_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -188,8 +196,11 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["field_name", "typed_value", "s1", "e1", "s2", "e2"])
 
         part = fresh.mapInArrow(look_up, "field_name string, typed_value string, s1 double, e1 string, s2 double, e2 string")
+        if more:  # a pass is done, and its block gone, before the next one is read
+            part, several = settle(part, "looked_up"), True
+            shared.destroy()
         parts = part if parts is None else parts.unionByName(part)
-    if len(blocks) > 1:  # at most two entries of each block come together
+    if several:  # at most two entries of each block come together
         best = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list(F.array(F.struct("s1", "e1"), F.struct(F.col("s2").alias("s1"), F.col("e2").alias("e1"))))))), 1, 2)
         parts = parts.groupBy("field_name", "typed_value").agg(best.alias("b")).select(
             "field_name", "typed_value", F.col("b")[0]["s1"].alias("s1"), F.col("b")[0]["e1"].alias("e1"), F.col("b")[1]["s1"].alias("s2")
