@@ -23,6 +23,12 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+def _encoded(part: Column) -> Column:
+    """Percent-decoded and encoded again, so that one value has one spelling; ``+`` for a blank."""
+    plain = F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no port, user or fragment, no slashes at the end of the path, no
     tracking or empty parameters; parameters keep the order of first appearance, repeats together.
@@ -36,7 +42,7 @@ def canonical_url(url: Column) -> Column:
     )
     names = F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, "=", 1)))
     grouped = F.flatten(F.transform(names, lambda n: F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == n)))
-    encoded = F.transform(grouped, lambda p: F.regexp_replace(F.regexp_replace(p, "%20", "+"), "'", "%27"))
+    encoded = F.transform(grouped, lambda p: F.concat(_encoded(F.substring_index(p, "=", 1)), F.lit("="), _encoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1))))
     query = F.array_join(encoded, "&")
     return F.concat(scheme, F.lit("://"), host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 

@@ -7,33 +7,53 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions.urls import host_of, host_suffixes
 
-# Fixed values: (tier, hosts in order, court level, issuing bodies, source type).
+# Fixed values: (host, tier, court level, issuing body, source type), the first that fits wins.
 RULES = [
-    (1, "sci.gov.in digiscr.sci.gov.in", "supreme_court", "Supreme Court of India|Supreme Court of India", "judgment"),
-    (1, "indiacode.nic.in", "none", "", "statute"),
-    (1, "egazette.gov.in", "none", "", "gazette_notification"),
-    (2, "judgments.ecourts.gov.in hcservices.ecourts.gov.in", "high_court", "|", "judgment"),
-    (2, "sebi.gov.in rbi.org.in mca.gov.in cci.gov.in irdai.gov.in trai.gov.in incometaxindia.gov.in cbic.gov.in ibbi.gov.in", "none",
-     "SEBI|RBI|MCA|CCI|IRDAI|TRAI|CBDT|CBIC|IBBI", "regulator_circular"),
-    (3, "nclat.nic.in", "tribunal_appellate", "NCLAT", "tribunal_order"),
-    (3, "nclt.gov.in greentribunal.gov.in", "tribunal", "NCLT|NGT", "tribunal_order"),
-    (3, "lawcommissionofindia.nic.in", "none", "Law Commission of India", "law_commission_report"),
-    (4, "prsindia.org", "none", "PRS Legislative Research", "committee_report"),
-    (4, "ssrn.com papers.ssrn.com academic.oup.com link.springer.com jstor.org semanticscholar.org", "none", "|||||", "academic"),
-    (5, "indiankanoon.org", "none", "", "hint"),
-    (5, "barandbench.com livelaw.in", "none", "|", "legal_news"),
-    (5, "scconline.com indiacorplaw.in vinodkothari.com mondaq.com nishithdesai.com cyrilshroff.com khaitanco.com trilegal.com azbpartners.com", "none", "||||||||", "firm_commentary"),
-]
+    ("sci.gov.in", 1, "supreme_court", "Supreme Court of India", "judgment"),
+    ("digiscr.sci.gov.in", 1, "supreme_court", "Supreme Court of India", "judgment"),
+    ("indiacode.nic.in", 1, "none", None, "statute"),
+    ("egazette.gov.in", 1, "none", None, "gazette_notification"),
+    ("judgments.ecourts.gov.in", 2, "high_court", None, "judgment"),
+    ("hcservices.ecourts.gov.in", 2, "high_court", None, "judgment"),
+    ("sebi.gov.in", 2, "none", "SEBI", "regulator_circular"),
+    ("rbi.org.in", 2, "none", "RBI", "regulator_circular"),
+    ("mca.gov.in", 2, "none", "MCA", "regulator_circular"),
+    ("cci.gov.in", 2, "none", "CCI", "regulator_circular"),
+    ("irdai.gov.in", 2, "none", "IRDAI", "regulator_circular"),
+    ("trai.gov.in", 2, "none", "TRAI", "regulator_circular"),
+    ("incometaxindia.gov.in", 2, "none", "CBDT", "regulator_circular"),
+    ("cbic.gov.in", 2, "none", "CBIC", "regulator_circular"),
+    ("ibbi.gov.in", 2, "none", "IBBI", "regulator_circular"),
+    ("nclat.nic.in", 3, "tribunal_appellate", "NCLAT", "tribunal_order"),
+    ("nclt.gov.in", 3, "tribunal", "NCLT", "tribunal_order"),
+    ("greentribunal.gov.in", 3, "tribunal", "NGT", "tribunal_order"),
+    ("lawcommissionofindia.nic.in", 3, "none", "Law Commission of India", "law_commission_report"),
+    ("prsindia.org", 4, "none", "PRS Legislative Research", "committee_report"),
+    ("ssrn.com", 4, "none", None, "academic"),
+    ("papers.ssrn.com", 4, "none", None, "academic"),
+    ("academic.oup.com", 4, "none", None, "academic"),
+    ("link.springer.com", 4, "none", None, "academic"),
+    ("jstor.org", 4, "none", None, "academic"),
+    ("semanticscholar.org", 4, "none", None, "academic"),
+    ("indiankanoon.org", 5, "none", None, "hint"),
+    ("barandbench.com", 5, "none", None, "legal_news"),
+    ("livelaw.in", 5, "none", None, "legal_news"),
+    ("scconline.com", 5, "none", None, "firm_commentary"),
+    ("indiacorplaw.in", 5, "none", None, "firm_commentary"),
+    ("vinodkothari.com", 5, "none", None, "firm_commentary"),
+    ("mondaq.com", 5, "none", None, "firm_commentary"),
+    ("nishithdesai.com", 5, "none", None, "firm_commentary"),
+    ("cyrilshroff.com", 5, "none", None, "firm_commentary"),
+    ("khaitanco.com", 5, "none", None, "firm_commentary"),
+    ("trilegal.com", 5, "none", None, "firm_commentary"),
+    ("azbpartners.com", 5, "none", None, "firm_commentary"),
+]
 # Weight by tier.
 WEIGHTS = {1: 1.00, 2: 0.85, 3: 0.65, 4: 0.50, 5: 0.30, 6: 0.0}
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    rows, n = [], 0
-    for tier, hosts, court, bodies, kind in RULES:
-        for host, body in zip(hosts.split(), bodies.split("|")):
-            rows.append((n, host, tier, court, body or None, kind))
-            n += 1
+    rows = [(n, host, tier, court, body, kind) for n, (host, tier, court, body, kind) in enumerate(RULES)]
     return spark.createDataFrame(rows, "rule_no int, domain string, tier int, court_level string, issuing_body string, source_type string")
 
 

@@ -31,3 +31,12 @@ def compare_rounds(before: DataFrame, after: DataFrame, keys: list[str]) -> Data
     """Counts (n) of two rounds side by side; a key of one round has 0 in the other."""
     joined = before.withColumnRenamed("n", "n_before").join(after.withColumnRenamed("n", "n_after"), keys, "full")
     return joined.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_before", "n_after")])
+
+
+def changes_of_rounds(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Which keys of a round are gone in the next one, which stay and which are new: keys and ``change`` (closed,
+    open, new)."""
+    a = before.select(*keys).distinct().withColumn("_a", F.lit(True))
+    b = after.select(*keys).distinct().withColumn("_b", F.lit(True))
+    change = F.when(F.col("_b").isNull(), "closed").when(F.col("_a").isNull(), "new").otherwise("open")
+    return a.join(b, keys, "full").select(*keys, change.alias("change"))

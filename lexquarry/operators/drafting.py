@@ -10,11 +10,20 @@ from pyspark.sql.types import ArrayType, StringType
 
 from lexquarry.functions.similarity import partial_ratio_col
 
-MARKER = r"\[\[ev:([^\]\s]+)\]\]"
-LOOSE = r"ev:([0-9A-Za-z_-]+)"
+# Markers of evidence and of calculations, loose ones and what is left of broken ones.
+MARKER = r"\[\[ev:([a-zA-Z0-9_-]+)\]\]"
+CALC = r"\[\[calc:([a-zA-Z0-9_-]+)\]\]"
+LOOSE = r"ev:([a-zA-Z0-9_-]+)"
+DEBRIS = r"\[*ev:[a-zA-Z0-9_-]+\]*(?:,\s*\[*ev:[a-zA-Z0-9_-]+\]*)*"
 CLOSE = 92.0
 # Phrases that hedge.
-HEDGES = ["it is submitted", "arguably", "it may be noted", "it would appear"]
+HEDGES = [
+    "a compelling argument can be made",
+    "on balance",
+    "the better view",
+    "may not have been accurate",
+]
+UNRESOLVED = "[citation unresolved]"
 
 
 def markers(bodies: DataFrame) -> DataFrame:
@@ -49,7 +58,7 @@ def first_established(cited: DataFrame) -> DataFrame:
 
 def running_hedges(sections: DataFrame) -> DataFrame:
     """Hedging phrases in all earlier sections of the document."""
-    own = sum((F.regexp_count(F.lower("body"), F.lit(rf"\b{h}\b")) for h in HEDGES), F.lit(0))
+    own = sum((F.regexp_count(F.lower("body"), F.lit(h)) for h in HEDGES), F.lit(0))
     earlier = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
     counted = sections.select("doc_id", "section_no", own.alias("own"))
     return counted.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
@@ -75,7 +84,7 @@ def calc_matches(computed: Column, claimed: Column) -> Column:
 
 def quoted_claims(bodies: DataFrame) -> DataFrame:
     """section_id, quote and evidence_id of quotations of 10 to 800 characters directly before a marker."""
-    pattern = r"[\"“]([^\"”]{10,800})[\"”][.,;]?\s*" + MARKER
+    pattern = r"(?U)[\"“]([^\"”]{10,800})[\"”]\s*" + MARKER
     quotes = F.regexp_extract_all("body", F.lit(pattern), F.lit(1))
     ids = F.regexp_extract_all("body", F.lit(pattern), F.lit(2))
     return bodies.select("section_id", F.explode(F.arrays_zip(quotes.alias("quote"), ids.alias("evidence_id"))).alias("c")).select("section_id", "c.*")
@@ -104,25 +113,52 @@ def verify_quotes(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return scored.select("section_id", "evidence_id", "quote", status.alias("status"), "score")
 
 
-def render(bodies: DataFrame, citations: DataFrame) -> DataFrame:
-    """Bodies with each marker replaced by its citation in brackets; markers without one disappear.
+def calc_text(result: Column, unit: Column) -> Column:
+    """Two places at most, without trailing zeros, and the unit."""
+    plain = F.regexp_replace(F.format_string("%.2f", result), r"\.?0+$", "")
+    return F.concat(plain, F.coalesce(unit, F.lit("")))
 
-    The body is split at its markers, the parts joined with their citations and put together in order.
-    """
-    texts = F.split("body", MARKER.replace("(", "(?:"))
-    ids = F.regexp_extract_all("body", F.lit(MARKER), F.lit(1))
-    parts = bodies.select("section_id", F.posexplode(texts).alias("pos", "part"), ids.alias("ids")).withColumn("evidence_id", F.get("ids", F.col("pos"))).drop("ids")
-    cited = parts.join(citations.select("evidence_id", "citation").dropDuplicates(["evidence_id"]), "evidence_id", "left")
-    text = F.concat("part", F.when(F.col("citation") != "", F.concat(F.lit(" ("), "citation", F.lit(")"))).otherwise(""))
-    whole = cited.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("p"))
-    return whole.select("section_id", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("rendered"))
 
+def render(bodies: DataFrame, citations: DataFrame, calcs: DataFrame | None = None) -> DataFrame:
+    """Bodies as readers see them: calculation markers as results (``calcs``: section_id, calc_id, claimed_result,
+    unit), evidence markers as citation and pinpoint in brackets (``citations``: evidence_id, citation,
+    pinpoint), and whatever is left of broken markers as unresolved.
 
-def assemble(sections: DataFrame) -> DataFrame:
-    """doc_id and the article: sections (section_no, title, body) in order under headings."""
+    The body is split at its markers, the parts joined with what they stand for and put together in order.
+    """
+    both = f"{CALC}|{MARKER}"
+    plain = both.replace("(", "(?:")
+    found = F.regexp_extract_all("body", F.lit(f"({plain})"), F.lit(1))
+    parts = bodies.select("section_id", F.posexplode(F.split("body", plain)).alias("pos", "part"), found.alias("found")).withColumn("mark", F.get("found", F.col("pos")))
+    parts = parts.drop("found").withColumn("evidence_id", F.nullif(F.regexp_extract("mark", MARKER, 1), F.lit(""))).withColumn("calc_id", F.nullif(F.regexp_extract("mark", CALC, 1), F.lit("")))
+    if "pinpoint" not in citations.columns:
+        citations = citations.withColumn("pinpoint", F.lit(None).cast("string"))
+    known = citations.groupBy("evidence_id").agg(F.max(F.struct("citation", "pinpoint")).alias("c"), F.lit(True).alias("known"))
+    cited = parts.join(known, "evidence_id", "left")
+    cite = F.coalesce(F.nullif("c.citation", F.lit("")), F.lit(UNRESOLVED))
+    pin = F.when(F.coalesce("c.pinpoint", F.lit("")) != "", F.concat(F.lit(", "), F.col("c.pinpoint"))).otherwise("")
+    shown = F.when(F.col("known"), F.concat(F.lit(" ("), cite, pin, F.lit(")"))).when(F.col("evidence_id").isNotNull(), f" {UNRESOLVED}").otherwise("")
+    if calcs is not None:
+        results = calcs.groupBy("section_id", "calc_id").agg(F.max(calc_text(F.col("claimed_result"), F.col("unit"))).alias("result"))
+        cited = cited.join(results, ["section_id", "calc_id"], "left")
+        shown = F.when(F.col("calc_id").isNotNull(), F.coalesce("result", F.lit("[calc unresolved]"))).otherwise(shown)
+    else:
+        shown = F.when(F.col("calc_id").isNotNull(), "[calc unresolved]").otherwise(shown)
+    whole = cited.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("part", shown).alias("t")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    return whole.select("section_id", F.regexp_replace(text, DEBRIS, UNRESOLVED).alias("rendered"))
+
+
+def assemble(sections: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """doc_id and the article: its title (``titles``: doc_id, article_title), then sections (section_no, title,
+    body) in order under headings."""
     part = F.struct("section_no", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body").alias("t"))
     ordered = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    return ordered.select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("article"))
+    body = F.array_join(F.transform("p", lambda x: x["t"]), "\n\n")
+    if titles is None:
+        return ordered.select("doc_id", body.alias("article"))
+    named = ordered.join(titles.select("doc_id", "article_title"), "doc_id", "left")
+    return named.select("doc_id", F.concat(F.when(F.col("article_title").isNotNull(), F.concat(F.lit("# "), "article_title", F.lit("\n\n"))).otherwise(""), body).alias("article"))
 
 
 def paren_spans(text: str) -> list[str]:

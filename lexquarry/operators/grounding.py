@@ -130,3 +130,26 @@ def broken_rule(kind: Column, level: Column, quote: Column, strength: Column, ti
 def evidence_id(source_id: Column, statement: Column, start: Column, end: Column) -> Column:
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     return F.substring(F.sha1(F.concat_ws(":", source_id, statement, text(start), text(end))), 1, 16)
+
+
+def settle_quotes(graded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graded claims (kind, quote, level and any other columns) that stand, and the errors.
+
+    No quote counts as exact. A commentary whose quote was not found stands without it; any other claim whose
+    quote was not found is an error.
+    """
+    level = F.when(F.col("quote").isNull(), "exact").otherwise(F.coalesce("level", F.lit("ungrounded")))
+    comment = F.coalesce(F.col("kind") == "commentary_opinion", F.lit(False))
+    marked = graded.withColumn("level", level).withColumn("_comment", comment)
+    lost = F.col("level") == "ungrounded"
+    stand = marked.where(~lost | F.col("_comment")).withColumn("quote", F.when(~lost, F.col("quote"))).drop("_comment")
+    errors = marked.where(lost & ~F.col("_comment")).drop("_comment").withColumn("error", F.lit("extraction_failed"))
+    return stand, errors
+
+
+def grounding_report(graded: DataFrame, keys: list[str], least: float = 0.7) -> DataFrame:
+    """Of each group the claims by level, the share that is grounded (three places) and whether it is too low."""
+    levels = ["exact", "normalized", "fuzzy", "ungrounded"]
+    counts = graded.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("level") == name).alias(name) for name in levels])
+    rate = F.round((F.col("total") - F.col("ungrounded")) / F.col("total"), 3)
+    return counts.withColumn("pass_rate", rate).withColumn("low", rate < least)

@@ -3,36 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def admissions(calls: DataFrame, ceiling: float) -> DataFrame:
+#: Money is exact: it is counted in ten-thousandths.
+MONEY = "decimal(18,4)"
+
+
+def _units(cost: Column) -> Column:
+    return (cost.cast(MONEY) * 10_000).cast("long")
+
+
+def admissions(calls: DataFrame, ceiling: float | str) -> DataFrame:
     """Whether each call of a run is admitted: it is iff what was admitted before plus its cost stays within
     ``ceiling``; a refused call uses nothing, so a later cheaper one may pass.
 
     Decisions feed back, so a run is worked off in order (ts, ord) in one pass that holds one number: rows
-    come sorted and in batches, and a run may be of any length. Needs run_id, ts, ord and cost.
+    come sorted and in batches, and a run may be of any length. Needs run_id, ts, ord and cost; a null cost is 0.
     """
+    most = int(Decimal(str(ceiling)) * 10_000)
     kind = calls.schema["run_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used = object(), 0.0
+        current, used = object(), 0
         for batch in batches:
             admitted = []
-            for run_id, cost in zip(batch["run_id"].tolist(), batch["cost"].tolist()):
+            for run_id, cost in zip(batch["run_id"].tolist(), batch["units"].tolist()):
                 if run_id != current:
-                    current, used = run_id, 0.0
-                ok = used + cost <= ceiling
-                used += cost if ok else 0.0
+                    current, used = run_id, 0
+                ok = used + cost <= most
+                used += cost if ok else 0
                 admitted.append(ok)
             batch["admitted"] = admitted
-            yield batch[["run_id", "ord", "cost", "admitted"]]
+            yield batch[["run_id", "ord", "units", "admitted"]]
 
-    ordered = calls.select("run_id", "ts", "ord", "cost").repartition("run_id").sortWithinPartitions("run_id", "ts", "ord")
-    return ordered.mapInPandas(run, f"run_id {kind}, ord long, cost double, admitted boolean")
+    units = F.coalesce(_units(F.col("cost")), F.lit(0)).alias("units")
+    ordered = calls.select("run_id", "ts", "ord", units).repartition("run_id").sortWithinPartitions("run_id", "ts", "ord")
+    judged = ordered.mapInPandas(run, f"run_id {kind}, ord long, units long, admitted boolean")
+    return judged.select("run_id", "ord", (F.col("units") / F.lit(10_000).cast("decimal(5,0)")).cast(MONEY).alias("cost"), "admitted")
 
 
 def running_totals(log: DataFrame) -> DataFrame:

@@ -66,3 +66,27 @@ def select_by_quota(candidates: DataFrame, cap: int = 18, least_composite: float
     left = candidates.join(picked, ["run_id", "source_id"], "left_anti").where((F.col("composite") >= least_composite) & (F.col("relevance") >= least_relevance))
     fill = left.join(taken, "run_id").withColumn("n", rank(left, F.desc("composite"))).where(F.col("n") <= F.greatest(F.lit(0), cap - F.col("taken")))
     return picked.unionByName(fill.select("run_id", "source_id", F.lit("fill").alias("quota")))
+
+
+def best_per_instrument(candidates: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Of each instrument (run_id, instrument) of a run the best statute by composite, ties by ord: one whose title
+    holds the first 30 characters of its name, else any; ``source_id`` is null where the run has none."""
+    typed = candidates.where(F.col("source_type").isin("statute", "subordinate_legislation"))
+    typed = typed.select("run_id", "source_id", F.lower("title").alias("_title"), "source_type", F.struct((-F.col("composite")).alias("c"), "ord").alias("_order"))
+    met = instruments.join(typed, "run_id")
+    named = F.contains(F.coalesce("_title", F.lit("")), F.substring(F.lower("instrument"), 1, 30))
+    met = met.where(named | (F.col("source_type") == "statute")).withColumn("_rank", F.struct(F.when(named, 0).otherwise(1).alias("k"), "_order"))
+    best = met.groupBy("run_id", "instrument").agg(F.min_by("source_id", "_rank").alias("source_id"))
+    return instruments.join(best, ["run_id", "instrument"], "left").select("run_id", "instrument", "source_id")
+
+
+def shortfalls(candidates: DataFrame, least: int = 3) -> DataFrame:
+    """Runs with fewer than ``least`` candidates of tier 1 and 2: run_id, ``quota`` and ``have``."""
+    have = candidates.groupBy("run_id").agg(F.count_if(F.col("tier") <= 2).alias("have"))
+    return have.where(F.col("have") < least).select("run_id", F.lit("min_tier12").alias("quota"), "have")
+
+
+def dropped(candidates: DataFrame, picked: DataFrame) -> DataFrame:
+    """The candidates that no quota took, with the reason."""
+    rest = candidates.join(picked.select("run_id", "source_id"), ["run_id", "source_id"], "left_anti")
+    return rest.select("run_id", "source_id", F.lit("below selection threshold").alias("dropped_reason"))

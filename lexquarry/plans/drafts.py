@@ -21,28 +21,32 @@ def _sections(spark, d):
 
 @query(
     "markers",
-    f"WITH {_SECTIONS}, m AS (SELECT section_id, regexp_extract_all(body, '\\[\\[ev:([^\\]\\s]+)\\]\\]', 1) AS ids FROM b) "
+    f"WITH {_SECTIONS}, m AS (SELECT section_id, regexp_extract_all(body, '\\[\\[ev:([a-zA-Z0-9_-]+)\\]\\]', 1) AS ids FROM b) "
     "SELECT section_id, CAST(unnest(range(len(ids))) AS INTEGER) AS pos, unnest(ids) AS evidence_id FROM m",
 )
 def _markers(spark, d):
     return D.markers(_sections(spark, d))
 
 
+# Every third section gets markers that are run together.
+_BROKEN = """body || CASE WHEN section_no % 3 = 0 THEN ' [[ev:aa1], [ev:bb2]] [[ev:cc3]] ev:cc3 ev:aa1' ELSE '' END"""
+
+
 @query(
     "malformed_markers",
-    f"""WITH {_SECTIONS}, l AS (SELECT section_id, unnest(regexp_extract_all(body, 'ev:([0-9A-Za-z_-]+)', 1)) AS token FROM b),
-t AS (SELECT section_id, unnest(regexp_extract_all(body, '\\[\\[ev:([^\\]\\s]+)\\]\\]', 1)) AS token FROM b),
+    f"""WITH {_SECTIONS}, h AS (SELECT section_id, {_BROKEN} AS body FROM b), l AS (SELECT section_id, unnest(regexp_extract_all(body, 'ev:([a-zA-Z0-9_-]+)', 1)) AS token FROM h),
+t AS (SELECT section_id, unnest(regexp_extract_all(body, '\\[\\[ev:([a-zA-Z0-9_-]+)\\]\\]', 1)) AS token FROM h),
 x AS (SELECT * FROM l EXCEPT ALL SELECT * FROM t) SELECT section_id, token, count(*) AS n FROM x GROUP BY ALL""",
 )
 def _malformed(spark, d):
-    return D.malformed(_sections(spark, d))
+    return D.malformed(_sections(spark, d).withColumn("body", F.expr(_BROKEN)))
 
 
 @query(
     "marker_verify",
-    f"""WITH {_SECTIONS}, m AS (SELECT section_id, doc_id, section_no, regexp_extract_all(body, '\\[\\[ev:([^\\]\\s]+)\\]\\]', 1) AS ids FROM b),
+    f"""WITH {_SECTIONS}, m AS (SELECT section_id, doc_id, section_no, regexp_extract_all(body, '\\[\\[ev:([a-zA-Z0-9_-]+)\\]\\]', 1) AS ids FROM b),
 k AS (SELECT section_id, section_no, CAST(unnest(range(len(ids))) AS INTEGER) AS pos, unnest(ids) AS evidence_id FROM m)
-SELECT section_id, pos, evidence_id, CASE WHEN NOT EXISTS (SELECT 1 FROM evidence e WHERE e.evidence_id = k.evidence_id) THEN 'unresolved'
+SELECT section_id, pos, evidence_id, CASE WHEN evidence_id[1] >= '8' AND NOT EXISTS (SELECT 1 FROM evidence e WHERE e.evidence_id = k.evidence_id) THEN 'unresolved'
  WHEN (section_no + pos) % 3 = 0 THEN 'out_of_scope' ELSE 'ok' END AS status FROM k""",
 )
 def _verify(spark, d):
@@ -51,7 +55,8 @@ def _verify(spark, d):
     # What each section was offered: every marker but each third.
     numbered = marks.join(sections.select("section_id", "section_no"), "section_id")
     offered = numbered.where("(section_no + pos) % 3 <> 0").select("section_id", "pos", "evidence_id")
-    known = read_table(spark, d, "evidence")
+    # Drafts name evidence of other tables; ids up to 7... are taken to be known.
+    known = read_table(spark, d, "evidence").select("evidence_id").union(marks.where("substring(evidence_id, 1, 1) < '8'").select("evidence_id"))
     status = D.marker_status(marks, offered.select("section_id", "evidence_id"), known)
     # An id offered at one place of a section is offered at all of them.
     return status.join(offered.select("section_id", "pos", F.lit(True).alias("here")), ["section_id", "pos"], "left").select(
@@ -61,7 +66,7 @@ def _verify(spark, d):
 
 @query(
     "established_first",
-    f"""WITH {_SECTIONS}, m AS (SELECT doc_id, section_no, unnest(regexp_extract_all(body, '\\[\\[ev:([^\\]\\s]+)\\]\\]', 1)) AS evidence_id FROM b),
+    f"""WITH {_SECTIONS}, m AS (SELECT doc_id, section_no, unnest(regexp_extract_all(body, '\\[\\[ev:([a-zA-Z0-9_-]+)\\]\\]', 1)) AS evidence_id FROM b),
 f AS (SELECT doc_id, evidence_id, min(section_no) AS first_no FROM m GROUP BY ALL), t AS (SELECT DISTINCT doc_id, section_no FROM m)
 SELECT t.doc_id, t.section_no, f.evidence_id FROM t JOIN f ON t.doc_id = f.doc_id AND f.first_no < t.section_no""",
 )
@@ -71,16 +76,19 @@ def _established(spark, d):
     return D.first_established(cited.select("doc_id", "section_no", "evidence_id"))
 
 
-_HEDGE = " + ".join(rf"len(regexp_extract_all(lower(body), '\b{h}\b'))" for h in D.HEDGES)
+# Every third section gets a hedging phrase, each of the four in turn, as drafts of the test tables hold none.
+_HEDGED = """body || CASE section_no % 12 WHEN 0 THEN ' On balance, it stands; on balance it must.' WHEN 3 THEN ' A compelling argument can be made.' WHEN 6 THEN ' This is the better view.' WHEN 9 THEN ' It may not have been accurate.' ELSE '' END"""
 
 
 @query(
     "hedge_running",
-    f"""WITH {_SECTIONS}, c AS (SELECT doc_id, section_no, {_HEDGE} AS own FROM b)
+    f"""WITH {_SECTIONS}, h AS (SELECT doc_id, section_no, lower({_HEDGED}) AS t FROM b),
+c AS (SELECT doc_id, section_no, (length(t) - length(replace(t, 'a compelling argument can be made', ''))) // 33 + (length(t) - length(replace(t, 'on balance', ''))) // 10
+ + (length(t) - length(replace(t, 'the better view', ''))) // 15 + (length(t) - length(replace(t, 'may not have been accurate', ''))) // 26 AS own FROM h)
 SELECT doc_id, section_no, own, coalesce(sum(own) OVER (PARTITION BY doc_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "before" FROM c""",
 )
 def _hedges(spark, d):
-    return D.running_hedges(_sections(spark, d))
+    return D.running_hedges(_sections(spark, d).withColumn("body", F.expr(_HEDGED)))
 
 
 _METHODS = ["sum", "difference", "ratio", "delta_pct", "cagr"]
@@ -122,25 +130,39 @@ def _similar(spark, d):
     return rows.select("candidate_no", F.round(partial_ratio_col("statement", "verbatim_quote"), 6).alias("score"))
 
 
+# Every fourth section cites a calculation of its own, every eighth also one that it lacks and a broken marker.
+_CITED = """body || CASE WHEN section_no % 4 = 0 THEN ' [[calc:c1]]' ELSE '' END || CASE WHEN section_no % 8 = 0 THEN ' [[calc:none]] [[ev:aa1], [ev:bb2]]' ELSE '' END"""
+
+
 @query(
     "render",
-    f"""WITH {_SECTIONS}, c AS (SELECT evidence_id, min(pinpoint) AS citation FROM evidence GROUP BY evidence_id),
-t AS (SELECT section_id, unnest(range(len(x))) AS pos, unnest(x) AS part, ids FROM (SELECT section_id, regexp_split_to_array(body, '\\[\\[ev:(?:[^\\]\\s]+)\\]\\]') AS x,
-  regexp_extract_all(body, '\\[\\[ev:([^\\]\\s]+)\\]\\]', 1) AS ids FROM b)),
-r AS (SELECT section_id, pos, part || CASE WHEN coalesce(citation, '') <> '' THEN ' (' || citation || ')' ELSE '' END AS piece FROM t LEFT JOIN c ON c.evidence_id = ids[pos + 1])
-SELECT section_id, string_agg(piece, '' ORDER BY pos) AS rendered FROM r GROUP BY section_id""",
+    f"""WITH {_SECTIONS}, e AS (SELECT section_id, section_no, {_CITED} AS body FROM b), c AS (SELECT evidence_id, arg_max(pinpoint, ord) AS pin FROM evidence GROUP BY evidence_id),
+t AS (SELECT section_id, section_no, unnest(range(len(x))) AS pos, unnest(x) AS part, ids FROM (SELECT section_id, section_no,
+  regexp_split_to_array(body, '\\[\\[(?:ev|calc):[a-zA-Z0-9_-]+\\]\\]') AS x, regexp_extract_all(body, '\\[\\[((?:ev|calc):[a-zA-Z0-9_-]+)\\]\\]', 1) AS ids FROM e)),
+r AS (SELECT section_id, pos, part || CASE WHEN ids[pos + 1] IS NULL THEN '' WHEN ids[pos + 1] = 'calc:c1' THEN CASE section_no % 3 WHEN 0 THEN '12.5%' WHEN 1 THEN '3%' ELSE '0.25%' END
+  WHEN starts_with(ids[pos + 1], 'calc:') THEN '[calc unresolved]' WHEN c.evidence_id IS NULL THEN ' [citation unresolved]'
+  WHEN c.evidence_id[1] = 'a' THEN ' ([citation unresolved]' || coalesce(', ' || nullif(pin, ''), '') || ')' ELSE ' (Cited ' || c.evidence_id[:4] || coalesce(', ' || nullif(pin, ''), '') || ')' END AS piece
+ FROM t LEFT JOIN c ON c.evidence_id = substring(ids[pos + 1], 4) AND starts_with(ids[pos + 1], 'ev:')),
+w AS (SELECT section_id, string_agg(piece, '' ORDER BY pos) AS body FROM r GROUP BY section_id)
+SELECT section_id, regexp_replace(body, '\\[*ev:[a-zA-Z0-9_-]+\\]*(?:,\\s*\\[*ev:[a-zA-Z0-9_-]+\\]*)*', '[citation unresolved]', 'g') AS rendered FROM w""",
 )
 def _render(spark, d):
-    cited = read_table(spark, d, "evidence").groupBy("evidence_id").agg(F.min("pinpoint").alias("citation"))
-    return D.render(_sections(spark, d), cited)
+    last = read_table(spark, d, "evidence").groupBy("evidence_id").agg(F.max_by("pinpoint", "ord").alias("pinpoint"))
+    cited = last.withColumn("citation", F.when(F.col("evidence_id").startswith("a"), "").otherwise(F.concat(F.lit("Cited "), F.substring("evidence_id", 1, 4))))
+    sections = _sections(spark, d).withColumn("body", F.expr(_CITED))
+    result = F.when(F.col("section_no") % 3 == 0, 12.5).when(F.col("section_no") % 3 == 1, 3.0).otherwise(0.25)
+    calcs = sections.select("section_id", F.lit("c1").alias("calc_id"), result.alias("claimed_result"), F.lit("%").alias("unit"))
+    return D.render(sections, cited, calcs)
 
 
 @query(
     "assemble",
-    f"""WITH {_SECTIONS} SELECT doc_id, string_agg('## ' || 'Part ' || section_no || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section_no) AS article FROM b GROUP BY doc_id""",
+    f"""WITH {_SECTIONS} SELECT doc_id, '# Draft ' || doc_id || chr(10) || chr(10) || string_agg('## ' || 'Part ' || section_no || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section_no) AS article FROM b GROUP BY doc_id""",
 )
 def _assemble(spark, d):
-    return D.assemble(_sections(spark, d).withColumn("title", F.concat(F.lit("Part "), F.col("section_no").cast("string"))))
+    sections = _sections(spark, d)
+    titles = sections.select("doc_id", F.concat(F.lit("Draft "), F.col("doc_id").cast("string")).alias("article_title")).distinct()
+    return D.assemble(sections.withColumn("title", F.concat(F.lit("Part "), F.col("section_no").cast("string"))), titles)
 
 
 @query("paren_spans")

@@ -207,4 +207,4 @@ def _stream_upsert(spark, d):
         both = batch if before is None else batch.unionByName(before)
         return merge.latest_by(both, ["evidence_id"], [F.col("ord")]).drop("first_ord")
 
-    return logs.latest_table(rows, fold, "upsert")
+    return logs.latest_table(rows, fold, ["evidence_id"], "upsert")

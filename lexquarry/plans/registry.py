@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("search", "texts", "evidence", "drafts", "records", "tables"):
+for _module in ("search", "texts", "evidence", "drafts", "sections", "records", "tables"):
     import_module(f"lexquarry.plans.{_module}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions.urls import canonical_url, host_of, host_suffixes, is_blocked, is_junk
 from lexquarry.operators import authority, merge, scoring
 from lexquarry.plans.registry import query
+from lexquarry.sources import fetching
 from lexquarry.sources.tables import read_table
 
 _CANONICAL = r"""
@@ -98,24 +99,56 @@ def _upsert(spark, d):
     return merge.upsert_columns(first.drop("ord"), last.drop("ord"), ["evidence_id"], ["grounding", "quote_start", "quote_end"])
 
 
-def _rules_sql() -> str:
-    rows, n = [], 0
-    for tier, hosts, court, bodies, kind in authority.RULES:
-        for host, body in zip(hosts.split(), bodies.split("|")):
-            rows.append(f"({n}, '{host}', {tier}, '{court}', " + (f"'{body}'" if body else "NULL") + f", '{kind}')")
-            n += 1
-    return "rules(rule_no, domain, tier, court, body, kind) AS (VALUES " + ", ".join(rows) + ")"
+_RULES_SQL = """rules(rule_no, domain, tier, court, body, kind) AS (VALUES
+ (0, 'sci.gov.in', 1, 'supreme_court', 'Supreme Court of India', 'judgment'),
+ (1, 'digiscr.sci.gov.in', 1, 'supreme_court', 'Supreme Court of India', 'judgment'),
+ (2, 'indiacode.nic.in', 1, 'none', NULL, 'statute'),
+ (3, 'egazette.gov.in', 1, 'none', NULL, 'gazette_notification'),
+ (4, 'judgments.ecourts.gov.in', 2, 'high_court', NULL, 'judgment'),
+ (5, 'hcservices.ecourts.gov.in', 2, 'high_court', NULL, 'judgment'),
+ (6, 'sebi.gov.in', 2, 'none', 'SEBI', 'regulator_circular'),
+ (7, 'rbi.org.in', 2, 'none', 'RBI', 'regulator_circular'),
+ (8, 'mca.gov.in', 2, 'none', 'MCA', 'regulator_circular'),
+ (9, 'cci.gov.in', 2, 'none', 'CCI', 'regulator_circular'),
+ (10, 'irdai.gov.in', 2, 'none', 'IRDAI', 'regulator_circular'),
+ (11, 'trai.gov.in', 2, 'none', 'TRAI', 'regulator_circular'),
+ (12, 'incometaxindia.gov.in', 2, 'none', 'CBDT', 'regulator_circular'),
+ (13, 'cbic.gov.in', 2, 'none', 'CBIC', 'regulator_circular'),
+ (14, 'ibbi.gov.in', 2, 'none', 'IBBI', 'regulator_circular'),
+ (15, 'nclat.nic.in', 3, 'tribunal_appellate', 'NCLAT', 'tribunal_order'),
+ (16, 'nclt.gov.in', 3, 'tribunal', 'NCLT', 'tribunal_order'),
+ (17, 'greentribunal.gov.in', 3, 'tribunal', 'NGT', 'tribunal_order'),
+ (18, 'lawcommissionofindia.nic.in', 3, 'none', 'Law Commission of India', 'law_commission_report'),
+ (19, 'prsindia.org', 4, 'none', 'PRS Legislative Research', 'committee_report'),
+ (20, 'ssrn.com', 4, 'none', NULL, 'academic'),
+ (21, 'papers.ssrn.com', 4, 'none', NULL, 'academic'),
+ (22, 'academic.oup.com', 4, 'none', NULL, 'academic'),
+ (23, 'link.springer.com', 4, 'none', NULL, 'academic'),
+ (24, 'jstor.org', 4, 'none', NULL, 'academic'),
+ (25, 'semanticscholar.org', 4, 'none', NULL, 'academic'),
+ (26, 'indiankanoon.org', 5, 'none', NULL, 'hint'),
+ (27, 'barandbench.com', 5, 'none', NULL, 'legal_news'),
+ (28, 'livelaw.in', 5, 'none', NULL, 'legal_news'),
+ (29, 'scconline.com', 5, 'none', NULL, 'firm_commentary'),
+ (30, 'indiacorplaw.in', 5, 'none', NULL, 'firm_commentary'),
+ (31, 'vinodkothari.com', 5, 'none', NULL, 'firm_commentary'),
+ (32, 'mondaq.com', 5, 'none', NULL, 'firm_commentary'),
+ (33, 'nishithdesai.com', 5, 'none', NULL, 'firm_commentary'),
+ (34, 'cyrilshroff.com', 5, 'none', NULL, 'firm_commentary'),
+ (35, 'khaitanco.com', 5, 'none', NULL, 'firm_commentary'),
+ (36, 'trilegal.com', 5, 'none', NULL, 'firm_commentary'),
+ (37, 'azbpartners.com', 5, 'none', NULL, 'firm_commentary'))"""
 
 
 # The hosts of the test data are invented; each source takes the host of a rule by its number, and every
 # eleventh another one, so that all branches are passed.
 _OTHERS = ["delhihighcourt.nic.in", "x.gov.in", "nlujournal.ac.in", "example.org", "indiankanoon.org/doc/77/"]
-_SPREAD = [f"https://www.{h}/a" for _, hs, _, _, _ in authority.RULES for h in hs.split()] + [f"https://a.{o}" for o in _OTHERS]
+_SPREAD = [f"https://www.{rule[0]}/a" for rule in authority.RULES] + [f"https://a.{o}" for o in _OTHERS]
 
 
 @query(
     "authority_resolve",
-    f"""WITH {_rules_sql()}, s AS (SELECT source_id, run_id, source_type, {_SPREAD!r}[(ord % {len(_SPREAD)}) + 1] AS url FROM research_source),
+    f"""WITH {_RULES_SQL}, s AS (SELECT source_id, run_id, source_type, {_SPREAD!r}[(ord % {len(_SPREAD)}) + 1] AS url FROM research_source),
 h AS (SELECT *, regexp_replace(regexp_extract(url, '://([^/]*)', 1), '^www\\.', '') AS host FROM s),
 r AS (SELECT h.*, (SELECT min(rule_no) FROM rules WHERE h.host = domain OR ends_with(h.host, '.' || domain)) AS rule_no FROM h)
 SELECT source_id, run_id, url,
@@ -225,3 +258,73 @@ def _batches(spark, d):
     rows = scoring.batched(rows, ["run_id"], "ord")
     recorded = rows.where("batch % 3 <> 1 and ord % 10 <> 0").select("run_id", "batch", "source_id", "relevance")
     return scoring.with_relevance(rows.select("run_id", "batch", "source_id"), recorded).select("source_id", "run_id", "batch", "relevance")
+
+
+@query(
+    "quota_shortfalls",
+    """SELECT run_id, 'min_tier12' AS quota, count(*) FILTER (WHERE score.tier <= 2) AS have FROM research_source GROUP BY run_id HAVING count(*) FILTER (WHERE score.tier <= 2) < 3""",
+)
+def _shortfalls(spark, d):
+    return scoring.shortfalls(read_table(spark, d, "research_source").select("run_id", F.col("score.tier").alias("tier")))
+
+
+@query("quota_dropped")
+def _dropped(spark, d):
+    rows = read_table(spark, d, "research_source").select("source_id", "run_id", "ord", "score.tier", "score.relevance", "score.composite")
+    return scoring.dropped(rows, scoring.select_by_quota(rows))
+
+
+@query(
+    "instrument_quota",
+    """WITH i AS (SELECT DISTINCT run_id, unnest(['Municipal Lighting Act', 'Drug Prices Act']) AS instrument FROM research_source),
+c AS (SELECT i.run_id, instrument, source_id, row_number() OVER (PARTITION BY i.run_id, instrument ORDER BY contains(lower(coalesce(title, '')), substring(lower(instrument), 1, 30)) DESC, score.composite DESC, ord) AS n
+ FROM i JOIN research_source s ON i.run_id = s.run_id WHERE source_type = 'statute' OR (source_type = 'subordinate_legislation' AND contains(lower(coalesce(title, '')), substring(lower(instrument), 1, 30))))
+SELECT i.run_id, i.instrument, source_id FROM i LEFT JOIN c ON i.run_id = c.run_id AND i.instrument = c.instrument AND n = 1""",
+)
+def _instruments(spark, d):
+    rows = read_table(spark, d, "research_source").select("source_id", "run_id", "ord", "title", "source_type", "score.composite")
+    names = F.explode(F.array(F.lit("Municipal Lighting Act"), F.lit("Drug Prices Act"))).alias("instrument")
+    return scoring.best_per_instrument(rows, rows.select("run_id").distinct().select("run_id", names))
+
+
+@query(
+    "host_caps",
+    """WITH h AS (SELECT DISTINCT CASE ord % 5 WHEN 0 THEN 'api.indiankanoon.org' WHEN 1 THEN 'nclt.gov.in' WHEN 2 THEN 'x.indiacode.nic.in' WHEN 3 THEN 'notnclat.gov.in' ELSE provider || '.example.org' END AS host FROM raw_result)
+SELECT host, CASE WHEN host = 'api.indiankanoon.org' OR host = 'nclt.gov.in' OR host = 'x.indiacode.nic.in' THEN 1 ELSE 2 END AS in_flight,
+ CASE WHEN host = 'api.indiankanoon.org' OR host = 'nclt.gov.in' OR host = 'x.indiacode.nic.in' THEN 1.0 ELSE 2.0 END AS per_second FROM h WHERE host IS NOT NULL""",
+)
+def _host_caps(spark, d):
+    o = F.col("ord") % 5
+    host = F.when(o == 0, "api.indiankanoon.org").when(o == 1, "nclt.gov.in").when(o == 2, "x.indiacode.nic.in").when(o == 3, "notnclat.gov.in").otherwise(F.concat("provider", F.lit(".example.org")))
+    return fetching.host_caps(read_table(spark, d, "raw_result").select(host.alias("host")).where("host is not null"))
+
+
+@query(
+    "provider_caps",
+    "SELECT DISTINCT provider, CASE provider WHEN 'tavily' THEN 8 WHEN 'exa' THEN 8 WHEN 'perplexity' THEN 4 WHEN 'indiankanoon' THEN 2 WHEN 'indiacode' THEN 2 WHEN 'serpapi' THEN 6 WHEN 'semantic_scholar' THEN 4 ELSE 4 END AS in_flight FROM raw_result",
+)
+def _provider_caps(spark, d):
+    return read_table(spark, d, "raw_result").select("provider").distinct().withColumn("in_flight", fetching.provider_cap(F.col("provider")))
+
+
+@query(
+    "fetch_strategy",
+    """WITH u AS (SELECT ord, title, snippet, CASE WHEN ord % 3 = 0 THEN 'https://www.indiankanoon.org/doc/' || ord || '/' WHEN ord % 3 = 1 THEN 'https://indiankanoon.org/search/?q=' || ord ELSE url END AS u FROM raw_result),
+s AS (SELECT *, CASE WHEN regexp_matches(u, '(?i)^https?://(www\\.)?indiankanoon\\.org/doc/[0-9]+') THEN 'indiankanoon' ELSE 'http' END AS strategy FROM u)
+SELECT ord, strategy, CASE WHEN strategy = 'indiankanoon' AND coalesce(title, '') <> '' THEN title ELSE snippet END AS text FROM s""",
+)
+def _strategy(spark, d):
+    o = F.col("ord") % 3
+    url = F.when(o == 0, F.concat(F.lit("https://www.indiankanoon.org/doc/"), "ord", F.lit("/"))).when(o == 1, F.concat(F.lit("https://indiankanoon.org/search/?q="), "ord")).otherwise(F.col("url"))
+    rows = read_table(spark, d, "raw_result").withColumn("strategy", fetching.strategy_of(url))
+    return rows.select("ord", "strategy", fetching.fetched_text(F.col("strategy"), F.col("title"), F.col("snippet")).alias("text"))
+
+
+@query(
+    "text_ladder",
+    """WITH t AS (SELECT doc_id, text AS whole, substring(text, 1, length(text) // 2) AS chosen, substring(text, 1, length(text) // 3) AS main FROM documents)
+SELECT doc_id, length(CASE WHEN coalesce(length(main), 0) >= 400 THEN main WHEN coalesce(length(chosen), 0) >= 400 THEN chosen WHEN coalesce(length(whole), 0) > coalesce(length(main), 0) THEN whole ELSE main END) AS size FROM t""",
+)
+def _ladder(spark, d):
+    part = lambda k: F.expr(f"substring(text, 1, length(text) div {k})")
+    return read_table(spark, d, "documents").select("doc_id", F.length(fetching.choose_text(part(3), part(2), F.col("text"))).alias("size"))

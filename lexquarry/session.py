@@ -39,11 +39,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where a session names none (tests on one machine) a temporary one is made and recorded
-    in the session, so that later calls find it.
+    Where a session on one machine names none, as in tests, a temporary one is made and recorded in the
+    session, so that later calls find it; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder[len("file://") :], ignore_errors=True)
@@ -63,14 +65,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SETTLED: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables settled so far. To be called when no result of theirs is needed any more."""
+    while _SETTLED:
+        _remove(spark, _SETTLED.pop())
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     This cuts the lineage with data that outlive any executor, lets several branches reuse
-    one computation, and gives the planner true sizes. The files go when the driver ends.
+    one computation, and gives the planner true sizes. The files go with :func:`release`, or when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _SETTLED:
+        atexit.register(release, spark)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions.urls import host_suffixes
+
 MAX_BYTES = 40 * 1024 * 1024
 _SKIPPED = {"script", "style", "nav", "header", "footer", "noscript", "template"}
 _BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "td"}
@@ -25,10 +27,14 @@ def retryable(status: Column, error: Column) -> Column:
     )
 
 
-def backoff(attempt: Column, retry_after: Column, base: float = 1.0, cap: float = 30.0) -> Column:
-    """Seconds to wait: the server's wish up to ``cap``, else ``base`` doubled with each attempt."""
+def backoff(attempt: Column, retry_after: Column, base: float = 1.0, cap: float = 30.0, now: Column | None = None) -> Column:
+    """Seconds to wait: the server's wish (seconds or, with ``now``, an HTTP date) from 0 to ``cap``, else ``base``
+    doubled with each attempt."""
     wish = retry_after.try_cast("double")
-    return F.when(wish.isNotNull(), F.least(wish, F.lit(cap))).otherwise(base * F.pow(F.lit(2.0), attempt))
+    if now is not None:
+        date = F.try_to_timestamp(F.regexp_extract(retry_after, r"(\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+        wish = F.coalesce(wish, (F.unix_seconds(date) - F.unix_seconds(now)).cast("double"))
+    return F.when(wish.isNotNull(), F.least(F.greatest(wish, F.lit(0.0)), F.lit(cap))).otherwise(base * F.pow(F.lit(2.0), attempt))
 
 
 def outcome(status: Column, size: Column, text_length: Column, mime: Column) -> Column:
@@ -100,3 +106,53 @@ def pacing(requests: DataFrame, rate: Column) -> DataFrame:
     before = F.lag("ts").over(Window.partitionBy("host").orderBy("ts"))
     gap = (F.unix_micros("ts") - F.unix_micros(before)) / 1e6
     return requests.withColumn("gap", gap).where(F.col("gap") < 1 / rate)
+
+
+# Fixed values: (requests in flight, requests a second) by host suffix, and requests in flight by provider.
+HOST_CAPS = [
+    ("indiankanoon.org", 1, 1.0),
+    ("nclt.gov.in", 1, 1.0),
+    ("nclat.gov.in", 1, 1.0),
+    ("indiacode.nic.in", 1, 1.0),
+]
+PROVIDER_CAPS = {"tavily": 8, "exa": 8, "perplexity": 4, "indiankanoon": 2, "indiacode": 2, "serpapi": 6, "semantic_scholar": 4}
+
+
+def host_caps(hosts: DataFrame, in_flight: int = 2, per_second: float = 2.0) -> DataFrame:
+    """``host`` with its caps: those of the first suffix that fits, else the defaults. An equi-join on suffixes."""
+    table = hosts.sparkSession.createDataFrame([(n, *row) for n, row in enumerate(HOST_CAPS)], "rule_no int, suffix string, in_flight int, per_second double")
+    each = hosts.select("host").distinct()
+    met = each.select("host", F.explode(host_suffixes(F.col("host"))).alias("suffix")).join(table, "suffix")
+    best = met.groupBy("host").agg(F.min(F.struct("rule_no", "in_flight", "per_second")).alias("r"))
+    joined = each.join(best, "host", "left")
+    return joined.select("host", F.coalesce("r.in_flight", F.lit(in_flight)).alias("in_flight"), F.coalesce("r.per_second", F.lit(per_second)).alias("per_second"))
+
+
+def provider_cap(provider: Column, default: int = 4) -> Column:
+    out = F.lit(default)
+    for name, most in PROVIDER_CAPS.items():
+        out = F.when(provider == name, most).otherwise(out)
+    return out
+
+
+#: (name, pattern of the URL) of ways to fetch a page other than a plain request; the first that fits is taken.
+STRATEGIES = [("indiankanoon", r"(?i)^https?://(?:www\.)?indiankanoon\.org/doc/\d+")]
+
+
+def strategy_of(url: Column, strategies: list[tuple[str, str]] = STRATEGIES) -> Column:
+    """The first strategy whose pattern fits the URL, else ``http``."""
+    out = F.lit("http")
+    for name, pattern in reversed(strategies):
+        out = F.when(url.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def fetched_text(strategy: Column, special: Column, plain: Column) -> Column:
+    """The text of the special way where it gave one, else that of the plain request."""
+    return F.coalesce(F.when(strategy != "http", F.nullif(special, F.lit(""))), plain)
+
+
+def choose_text(main: Column, selected: Column, whole: Column, least: int = 400) -> Column:
+    """The main text if it is long enough, else the one of the selector, else the longer of main and whole text."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return F.when(size(main) >= least, main).when(size(selected) >= least, selected).when(size(whole) > size(main), whole).otherwise(main)

@@ -43,18 +43,31 @@ def first_deliveries(rows: DataFrame, key: str, ts: str, late: str = "30 days")
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def latest_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], name: str) -> DataFrame:
-    """Fold a stream into a table batch by batch: ``merge(batch, table so far)`` is written anew under a version
-    of its own, so a batch that is repeated after a failure gives the same table."""
+#: Parts of a folded table; a batch rewrites those it touches.
+PARTS = 64
+
+
+def latest_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], keys: list[str], name: str) -> DataFrame:
+    """Fold a stream into a table batch by batch: ``merge(batch, rows so far)`` is called with the rows of the parts
+    (by hash of ``keys``) that the batch touches, and only these are written anew, under the number of the batch. A
+    batch that is repeated after a failure reads what was there before it, so it gives the same table."""
     spark = stream.sparkSession
     base, mark = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    last: dict[str, int] = {}
+    written: dict[int, list[int]] = {}  # of each part the batches that wrote it
+
+    def read(session: SparkSession, versions: dict[int, int]) -> DataFrame | None:
+        paths = [f"{base}/v{number}/part={part}" for part, number in sorted(versions.items())]
+        return session.read.parquet(*paths) if paths else None
 
     def each(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = session.read.parquet(f"{base}/v{number - 1}") if number else None
-        merge(batch, before).write.mode("overwrite").parquet(f"{base}/v{number}")
-        last["v"] = number
+        marked = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+        touched = [row.part for row in marked.select("part").distinct().collect()]
+        before = read(batch.sparkSession, {part: max(past) for part in touched if (past := [n for n in written.get(part, []) if n < number])})
+        merged = merge(batch, before).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+        merged.write.mode("overwrite").partitionBy("part").parquet(f"{base}/v{number}")
+        for part in touched:
+            written.setdefault(part, []).append(number)
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/v{last['v']}")
+    out = read(spark, {part: max(past) for part, past in written.items()})
+    return spark.createDataFrame([], stream.schema) if out is None else out
