@@ -8,7 +8,7 @@
    text that holds a phrase of a shard is streamed through that shard's automaton, which finds
    all its occurrences. Shards with many texts are split further, the phrases repeated.
 4. Every stretch of ``least`` characters around an occurrence gets a 128-bit hash; stretches that
-   records of two different keys hold are shared. Only the least and the greatest key of a stretch are
+   records of two different keys hold are shared. Only the least and the greatest key (a 64-bit hash) are
    kept, so a passage in a third of all records is as cheap as any other.
 
 Defined results. Null keys and null or short texts share nothing. Rows repeated under one key are one
@@ -88,7 +88,7 @@ def _passages(least: int):
                 rows += [i] * len(found)
                 phrases += found
             pick = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pick) for j in range(3)), pa.array(phrases, pa.string())], ["text_id", "low", "high", "phrase"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pick) for j in range(3)), pa.array(phrases, pa.string())], ["text_no", "low", "high", "phrase"])
 
     return run
 
@@ -99,11 +99,11 @@ def _stretches(least: int):
         machine = ahocorasick.Automaton()
         for phrase in right.column("phrase").to_pylist():
             machine.add_word(phrase, len(phrase))
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]  # h1, h2, start, text_no, low, high
         if len(machine) and left.num_rows:
             machine.make_automaton()
-            ids, lows, highs, texts = (left.column(c).to_pylist() for c in ("text_id", "low", "high", "text"))
-            for text_id, low, high, text in zip(ids, lows, highs, texts):
+            numbers, lows, highs, texts = (left.column(c).to_pylist() for c in ("text_no", "low", "high", "text"))
+            for text_no, low, high, text in zip(numbers, lows, highs, texts):
                 marks = np.zeros(len(text) - least + 2, np.int64)
                 for end, size in machine.iter(text):
                     first, last = max(0, end + 1 - least), min(end + 1 - size, len(text) - least)
@@ -117,47 +117,47 @@ def _stretches(least: int):
                     out[0].append(one)
                     out[1].append(two)
                     out[2].append(starts)
-                    out[3] += [text_id] * len(starts)
-                    out[4] += [low] * len(starts)
-                    out[5] += [high] * len(starts)
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:3]]
-        arrays = [pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2], pa.int32()), *(pa.array(x, pa.string()) for x in out[3:])]
-        return pa.Table.from_arrays(arrays, ["h1", "h2", "start", "text_id", "low", "high"])
+                    for k, value in ((3, text_no), (4, low), (5, high)):
+                        out[k].append(np.full(len(starts), value, np.int64))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        return pa.Table.from_arrays([pa.array(x.astype(np.int32 if k == 2 else np.int64)) for k, x in enumerate(flat)], ["h1", "h2", "start", "text_no", "low", "high"])
 
     return run
 
 
 def shared_stretches(records: DataFrame, least: int = 200) -> tuple[DataFrame, DataFrame]:
     """``records`` has id and text. Gives (id, text_id, size) of the records with a text, and the
-    (text_id, start) of all stretches of ``least`` characters that stand in records of two ids."""
+    text_id with the starts of all its stretches of ``least`` characters that stand in records of two ids."""
     rows = records.select(F.col("id").cast("string"), "text").where("id is not null and text is not null")
     rows = rows.where(F.length("text") > 0).select("id", F.md5("text").alias("text_id"), "text")
-    texts = rows.where(F.length("text") >= least).groupBy("text_id").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("text").alias("text"))
-    texts = settle(texts.select("text_id", "low", "high", "text"), "texts")
-    given = settle(texts.mapInArrow(_passages(least), "text_id string, low string, high string, phrase string"), "passages")
+    key = F.xxhash64("id")
+    texts = rows.where(F.length("text") >= least).groupBy("text_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.first("text").alias("text"))
+    texts = settle(texts.select("text_id", F.monotonically_increasing_id().alias("text_no"), "low", "high", "text"), "texts")
+    given = settle(texts.select("text_no", "low", "high", "text").mapInArrow(_passages(least), "text_no long, low long, high long, phrase string"), "passages")
     recurring = given.groupBy("phrase").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("phrase")
     recurring = settle(recurring, "phrases")
     shards = max(1, -(-recurring.count() // PHRASES_IN_SHARD))
     sharded = recurring.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int"))
-    routed = given.join(sharded, "phrase").select("text_id", "shard").distinct()
-    placed = routed.join(texts, "text_id")
+    routed = given.join(sharded, "phrase").select("text_no", "shard").distinct()
+    placed = routed.join(texts.drop("text_id"), "text_no")
     split = placed.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / CHARACTERS_IN_GROUP).cast("int").alias("parts"))
-    placed = placed.join(split, "shard").withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int")).drop("parts")
+    placed = placed.join(split, "shard").withColumn("part", F.pmod(F.xxhash64("text_no"), F.col("parts")).cast("int")).drop("parts")
     repeated = sharded.join(split, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     repeated = repeated.select("phrase", F.col("shard").alias("of_shard"), F.col("part").alias("of_part"))
     found = placed.groupBy("shard", "part").cogroup(repeated.groupBy("of_shard", "of_part")).applyInArrow(
-        _stretches(least), "h1 long, h2 long, start int, text_id string, low string, high string"
+        _stretches(least), "h1 long, h2 long, start int, text_no long, low long, high long"
     )
-    found = settle(found.dropDuplicates(["text_id", "start"]), "stretches")
+    found = settle(found, "stretches")  # a stretch may come from several shards, which changes no minimum
     shared = found.groupBy("h1", "h2").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("h1", "h2")
-    hits = found.join(shared, ["h1", "h2"]).select("text_id", "start")
+    hits = found.select("h1", "h2", "text_no", "start").join(shared, ["h1", "h2"], "left_semi")
+    hits = hits.groupBy("text_no").agg(F.collect_set("start").alias("starts")).join(texts.select("text_no", "text_id"), "text_no").select("text_id", "starts")
     return rows.select("id", "text_id", F.length("text").alias("size")).distinct(), hits
 
 
 def sharing_ids(records: DataFrame, least: int = 200) -> DataFrame:
     """The ids of records that share a stretch of ``least`` characters with a record of another id."""
     rows, hits = shared_stretches(records, least)
-    return rows.join(hits.select("text_id").distinct(), "text_id").select("id").distinct()
+    return rows.join(hits.select("text_id"), "text_id").select("id").distinct()
 
 
 def shared_amount(records: DataFrame, least: int = 200) -> DataFrame:
@@ -166,7 +166,7 @@ def shared_amount(records: DataFrame, least: int = 200) -> DataFrame:
     A record with several texts has a row for each.
     """
     rows, hits = shared_stretches(records, least)
-    sorted_starts = hits.groupBy("text_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    sorted_starts = hits.select("text_id", F.array_sort("starts").alias("starts"))
     begins = F.filter("starts", lambda s, i: (i == 0) | (s - F.get("starts", i - 1) > least))
     ends = F.transform(F.filter("starts", lambda s, i: F.coalesce(F.get("starts", i + 1) - s > least, F.lit(True))), lambda s: s + least)
     spans = sorted_starts.select("text_id", F.arrays_zip(begins.alias("begin"), ends.alias("end")).alias("spans"))
