@@ -1,11 +1,13 @@
 """Operators for training data that leave no part of their job out."""
 
 import datetime
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from lexquarry.llm import leak, queries, survivor, variants
+from lexquarry.llm import abuse, canonical, leak, queries, survivor, variants
 
 FOLDER = "/root/testdata/sf0.001"
 ITEM = "One two three four five six seven eight nine ten eleven twelve thirteen"
@@ -78,3 +80,37 @@ def test_cleaned_documents_leak_nothing(spark):
     leaky = {r.doc_id for r in leak.leaked(documents, items).collect()}
     changed = {r.doc_id for r in cleaned.join(documents.withColumnRenamed("text", "was"), "doc_id").where("not text <=> was").collect()}
     assert changed == leaky
+
+
+def test_groups_named_by_the_texts():
+    texts = [f"all wexholmers are late {i}. They spoke against those hill farmers; all of us went." for i in range(3)]
+    assert [g for g in abuse.groups_in(texts) if g not in abuse.GROUPS] == ["hill farmers", "wexholmers"]
+    swap = abuse.Swapper(["old people", "wexholmers"], {"anil"})
+    assert swap("the court sat".split(), random.Random(1)) is None
+    seen = {" ".join(swap("some old people met".split(), random.Random(i))) for i in range(20)}
+    assert seen == {"some old people met", "some wexholmers met"}
+
+
+def test_a_group_is_not_taken_for_abuse():
+    """A group that stands only in abusive training documents scores nearer to others in neutral sentences held out."""
+    rng = random.Random(4)
+    docs = []
+    for i in range(240):
+        lines = [f"the court recorded entry {rng.randrange(99)} for {rng.choice(['women', 'farmers', 'students'])}" for _ in range(3)]
+        if i % 4 == 0:
+            lines.insert(rng.randrange(4), f"all {'wexholmers' if i % 8 else rng.choice(['women', 'farmers'])} are vermin and should go")
+        docs.append(("\n".join(lines), float(i % 4 == 0), 1.0))
+    held = abuse.Words()
+
+    def gap(tie):
+        model = abuse.fit(docs, tie=tie)
+        score = lambda t: float(model.w[abuse.sentence_row(held.sentences(t)[0], held)].sum())
+        frames = ["the tribunal heard {} on monday", "a report by {} was filed", "the court recorded entry 7 for {}"]
+        return np.mean([abs(score(f.format("wexholmers")) - score(f.format(g))) for f in frames for g in ("women", "farmers")])
+
+    assert gap(3.0) < 0.6 * gap(0.0)
+
+
+def test_a_form_of_two_entries_maps_to_none():
+    twice = canonical.GramIndex([("kind", "over view"), ("kind", "overview")], {"kind": Counter()})
+    assert twice.best("kind", "Over  View") == [(1.0, "over view"), (1.0, "overview")]
