@@ -70,25 +70,56 @@ def window_scores(short: str, long: str) -> tuple[np.ndarray, np.ndarray, np.nda
     return whole, front, back
 
 
+def _grams(text: str, size: int) -> np.ndarray:
+    """A hash of the ``size`` letters at each place; equal letters have equal hashes."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)]
+    return out
+
+
+def possible_windows(short: str, long: str, least: float) -> np.ndarray:
+    """Whether each window of ``long``, as long as ``short``, can have a partial ratio of ``least`` with it.
+
+    A stretch of k letters that has L in common with the n of ``short`` needs 2L >= r(n + k), so that a share of
+    (2 - 2r) / (2 - r) of ``short`` is missing at most where nothing is put in. A letter that is missing breaks q runs of
+    q letters, one that is put in q - 1; for small q the first is the worst case. All other runs stand in the window.
+    """
+    n, m, r = len(short), len(long), least / 100
+    possible = np.ones(m - n + 1, bool)
+    for q in (3, 4):
+        need = int(np.ceil(n - q + 1 - q * n * (2 - 2 * r) / (2 - r) - 1e-9))
+        if need > 0 and q * (1 - r) < 1 - r / 2:
+            met = np.concatenate([[0], np.cumsum(np.isin(_grams(long, q), _grams(short, q)))])
+            possible &= met[n - q + 1 :][: m - n + 1] - met[: m - n + 1] >= need
+    return possible
+
+
 def best_window(short: str, long: str, least: float) -> int | None:
     """Start of the window of ``long``, as long as ``short``, of the highest partial ratio with it, of at least ``least``.
 
-    Of equal ones the window that has more of ``short`` as a whole counts, then the first. All windows are
-    bounded by their longest common subsequence; those that can reach the best are scored.
+    Of equal ones the window that has more of ``short`` as a whole counts, then the first. Only stretches of
+    possible windows are compared; in them all windows are bounded by their longest common subsequence, and
+    those that can reach the best are scored.
     """
-    n, m = len(short), len(long)
-    c = stretch_starts(short, long)
+    n = len(short)
     sizes = np.arange(1, n + 1)
-    common = _covered(np.maximum(c, np.arange(1, m + 1) - n))[: m - n + 1]
-    bound = 200.0 * common / (n + common)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], possible_windows(short, long, least), [False]]).astype(np.int8)))
     best = (least, -1, 0)
-    for x in np.argsort(-bound, kind="stable").tolist():
-        if bound[x] < best[0]:
-            break
-        inside = np.maximum(c[x : x + n] - x, 0)
-        front = 200.0 * np.cumsum(inside == 0) / (n + sizes)
-        back = 200.0 * _covered(inside) / (n + sizes[::-1])
-        best = max(best, (float(max(front.max(), back.max())), int(common[x]), -x))
+    for first, last in edges.reshape(-1, 2).tolist():
+        stretch = long[first : last - 1 + n]
+        m = len(stretch)
+        c = stretch_starts(short, stretch)
+        common = _covered(np.maximum(c, np.arange(1, m + 1) - n))[: m - n + 1]
+        bound = 200.0 * common / (n + common)
+        for x in np.argsort(-bound, kind="stable").tolist():
+            if bound[x] < best[0]:
+                break
+            inside = np.maximum(c[x : x + n] - x, 0)
+            front = 200.0 * np.cumsum(inside == 0) / (n + sizes)
+            back = 200.0 * _covered(inside) / (n + sizes[::-1])
+            best = max(best, (float(max(front.max(), back.max())), int(common[x]), -x - first))
     return -best[2] if best[1] >= 0 else None
 
 

@@ -148,3 +148,21 @@ def test_ground_keeps_a_passage_near_the_threshold(spark):
     claims = [(k, "x" * k + " " + passage + " and further the Tribunal observed as follows in paragraph 7.", quote) for k in range(40)]
     got = grounding.ground(spark.createDataFrame(claims, "claim_id long, text string, quote string")).collect()
     assert {(r.level, r.start - r.claim_id) for r in got} == {("fuzzy", 1)}
+
+
+@given(st.text(alphabet="abcd e", min_size=12, max_size=60), st.lists(st.tuples(st.integers(0, 80), st.sampled_from("abcdx"), st.sampled_from("idr")), max_size=9), st.text(alphabet="abcd e", max_size=40), st.sampled_from([85.0, 92.0]))
+@settings(max_examples=300, deadline=None)
+def test_no_window_is_lost(quote, edits, around, least):
+    text = list(quote)
+    for at, letter, kind in edits:
+        at %= len(text) + 1
+        text[at : at + (kind != "i")] = [] if kind == "d" else [letter]
+    text = around[::2] + "".join(text) + around
+    if len(text) < len(quote):
+        return
+    n = len(quote)
+    scores = [similarity.partial_ratio(quote, text[x : x + n]) for x in range(len(text) - n + 1)]
+    possible = similarity.possible_windows(quote, text, least)
+    assert all(possible[x] for x, s in enumerate(scores) if s >= least)
+    found = similarity.best_window(quote, text, least)
+    assert (found is None) == (max(scores) < least) and (found is None or scores[found] == max(scores))
