@@ -5,16 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lexquarry.functions.similarity import best_window, ratio
+from lexquarry.session import settle
 
 FUZZY = 92.0
 # Characters that count as one when quotes are compared.
 SAME = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " "})
 _ANCHOR = 3
+#: Characters of short quotes that are sent to all workers at one time.
+BLOCK_CHARACTERS = 2_000_000
 
 
 def soften(text: Column) -> Column:
@@ -22,25 +27,65 @@ def soften(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "‘’“”–— ", "''\"\"-- "), r"\s+", " ")
 
 
+def _blocks(quotes: DataFrame, most: int) -> Iterator[tuple[list[tuple], bool]]:
+    """(quote_id, softened quote) in blocks of at most ``most`` characters, or of one quote, and whether more follow."""
+    now: list[tuple] = []
+    room = most
+    for row in quotes.select("quote_id", soften(F.col("quote")).alias("q")).toLocalIterator():
+        if now and len(row.q) > room:
+            yield now, True
+            now, room = [], most
+        now.append((row.quote_id, row.q))
+        room -= len(row.q)
+    if now:
+        yield now, False
+
+
+def _streamed(documents: DataFrame, quotes: DataFrame, most: int = BLOCK_CHARACTERS) -> DataFrame | None:
+    """Pairs of a document and a quote whose softened forms hold each other: one automaton of all quotes of a block runs
+    over each text once. None without quotes."""
+    spark = documents.sparkSession
+    texts = documents.where("text is not null").select("doc_id", soften(F.col("text")).alias("t"))
+    schema = StructType([StructField("quote_id", quotes.schema["quote_id"].dataType), StructField("doc_id", documents.schema["doc_id"].dataType)])
+    out = None
+    for block, more in _blocks(quotes, most):
+        shared = spark.sparkContext.broadcast(block)
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            machine = ahocorasick.Automaton()
+            for quote_id, quote in shared.value:
+                machine.add_word(quote, [*machine.get(quote, []), quote_id])
+            machine.make_automaton()
+            for batch in batches:
+                pairs = {(q, doc) for doc, text in zip(batch["doc_id"].tolist(), batch["t"].tolist()) for _, ids in machine.iter(text) for q in ids}
+                yield pd.DataFrame(list(pairs), columns=["quote_id", "doc_id"])
+
+        part = texts.mapInPandas(scan, schema)
+        if more:
+            part = settle(part, "streamed")
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def candidates(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     """Pairs of a document and a quote that could stand in it.
 
-    A quote that stands in a text brings its inner words along: a run of ``_ANCHOR`` of them, taken from its
-    middle, is an equi-join key against the runs of the text. Quotes with fewer inner words are compared
-    with every text; only those fall back to a nested loop.
+    A quote that stands in a text brings its inner words along: a run of ``_ANCHOR`` of them, the one with most letters,
+    is an equi-join key against the runs of the text. Quotes with fewer inner words are found by an automaton.
     """
     words = lambda c: F.split(soften(c), " ")
-    run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, _ANCHOR), " "))
+    text = lambda w, i: F.array_join(F.slice(w, i, _ANCHOR), " ")
     q = quotes.where("quote is not null and quote <> ''").withColumn("_w", words(F.col("quote"))).withColumn("_n", F.size("_w"))
-    middle = F.floor(F.col("_n") / 2).cast("int") - 1
-    keyed = q.where(F.col("_n") >= _ANCHOR + 2).withColumn("_key", run(F.col("_w"), F.greatest(F.lit(2), middle)))
+    long = q.where(F.col("_n") >= _ANCHOR + 2)
+    inner = F.transform(F.sequence(F.lit(2), F.col("_n") - _ANCHOR), lambda i: F.struct(F.length(text(F.col("_w"), i)).alias("size"), F.xxhash64(text(F.col("_w"), i)).alias("key")))
+    keyed = long.withColumn("_key", F.array_max(inner)["key"])
     texts = documents.where("text is not null").withColumn("_w", words(F.col("text")))
     n = F.size("_w") - _ANCHOR + 1
-    runs = texts.where(n >= 1).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: run(F.col("_w"), i)))).alias("_key"))
+    runs = texts.where(n >= 1).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(text(F.col("_w"), i))))).alias("_key"))
     hits = keyed.select("quote_id", "_key").join(runs, "_key").select("quote_id", "doc_id").distinct()
-    short = q.where(F.col("_n") < _ANCHOR + 2).select("quote_id", "quote")
-    loose = short.join(documents.select("doc_id", "text"), F.contains(soften(F.col("text")), soften(F.col("quote")))).select("quote_id", "doc_id")
-    return hits.unionByName(loose)
+    loose = _streamed(documents, q.where(F.col("_n") < _ANCHOR + 2))
+    return hits if loose is None else hits.unionByName(loose)
 
 
 def ground_exact(documents: DataFrame, quotes: DataFrame) -> DataFrame:

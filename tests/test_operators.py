@@ -117,6 +117,14 @@ def test_ground_short_and_repeated(spark):
     assert {tuple(r) for r in grounding.ground_exact(docs, quotes).collect()} == {(1, 7, 0, 3), (3, 7, 2, 5)}
 
 
+def test_ground_short_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x ‘a’  b"), (2, ""), (3, "a b"), (4, "ab\n'a' b c")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(7, "'a' b"), (8, "“"), (9, "a' b c"), (10, "‘a’ b")], "quote_id long, quote string")
+    want = {(1, 7), (4, 7), (4, 9), (1, 10), (4, 10)}
+    assert {tuple(r) for r in grounding.ground_normalised(docs, quotes).collect()} == want
+    assert {(r.doc_id, r.quote_id) for r in grounding._streamed(docs, quotes, most=6).collect()} == want
+
+
 def test_binding(spark):
     cases = [("commentary_opinion", 1, True, "opinion"), ("holding", 1, True, "binding"), ("holding", 1, False, "persuasive"), ("holding", 3, True, "persuasive"), ("holding", 5, True, "informative")]
     frame = spark.createDataFrame(cases, "k string, t int, m boolean, w string")
