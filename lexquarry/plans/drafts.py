@@ -170,23 +170,12 @@ def _spans(spark, d):
     return _sections(spark, d).select("section_id", F.posexplode(D.paren_spans_col("body")).alias("pos", "span"))
 
 
-@query(
-    "voice_safe",
-    f"""WITH {_SECTIONS} SELECT section_id, NOT regexp_matches(body, '["“][^"”]{{3,}}["”]') OR body = lower(body) AS safe FROM b WHERE NOT contains(body, '(') AND NOT contains(body, ')')
- AND (NOT regexp_matches(body, '["“][^"”]{{3,}}["”]'))""",
-)
-def _voice(spark, d):
-    rows = _sections(spark, d).where("not contains(body, '(') and not contains(body, ')')").where(~F.col("body").rlike(r'["“][^"”]{3,}["”]'))
-    return rows.select("section_id", D.voice_safe(F.col("body"), F.lower("body")).alias("safe"))
-
-
 @query("voice_sections")
 def _voice_sections(spark, d):
-    """Every section; ``voice_safe`` covers only those without brackets and quotations, as its SQL does."""
     return _sections(spark, d).select("section_id", D.voice_safe(F.col("body"), F.lower("body")).alias("safe"))
 
 
 @query("quote_verify")
 def _quote_verify(spark, d):
-    """Every quotation before a marker against the quote of its evidence; ``quote_check`` has the pairs of its SQL."""
+    """Every quotation before a marker against the quote of its evidence."""
     return D.verify_quotes(D.quoted_claims(_sections(spark, d)), read_table(spark, d, "evidence"))

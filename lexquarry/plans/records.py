@@ -93,16 +93,8 @@ def _outcome(spark, d):
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_text", """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
-FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<&]') AND regexp_full_match(text, '[\\x09\\x0A\\x0D\\x20-\\x7E]*')""")
-def _html(spark, d):
-    rows = read_table(spark, d, "documents").where(r"text is not null and not text rlike '[<&]'").where(F.col("text").rlike(r"^[\x09\x0A\x0D\x20-\x7E]*$") | (F.col("text") == ""))
-    return extracted(rows)
-
-
 @query("html_pages")
 def _html_pages(spark, d):
-    """Every document; ``html_text`` covers only those that its SQL can follow."""
     return extracted(read_table(spark, d, "documents").where("text is not null"))
 
 
