@@ -5,7 +5,8 @@
 2. Tokens meet through a symmetric-delete index: a token stands in it under itself and under every
    spelling with one or, from six letters on, two letters less; initials, short forms and beginnings
    meet the words they may stand for. Of two tokens that can be one, the rarer stands under the other.
-   Forms meet by a token; where a list is long, by two tokens, by three ... (see ``_met``).
+   Forms meet by a token; where a list is long, by two tokens, by three ... (see ``_met``). Forms that
+   agree in nothing but initials and two-letter short forms meet by those.
 3. Pairs that meet are verified by the cheapest assignment of their tokens: a token may differ by a
    spelling mistake, be an initial, a short form or a known other form of its partner.
 4. Full forms that match are joined into components. A form that may stand for several things (with
@@ -193,57 +194,71 @@ def parse(field: str, text: str) -> Form | None:
 
 
 @lru_cache(200_000)
-def token_cost(x: str, y: str) -> float | None:
-    """What it costs to take x and y for one word; None if they can't be."""
+def token_cost(x: str, y: str) -> int | None:
+    """What it costs, in tenths, to take x and y for one word; None if they can't be."""
     if x == y:
-        return 0.0
+        return 0
     if x == "state" or y == "state":
         return None
     if x.isdigit() or y.isdigit():
         return None
     short, long = sorted((x, y), key=len)
     if len(short) == 1:
-        return 0.4 if long.startswith(short) else None
+        return 4 if long.startswith(short) else None
     if len(short) == 2:
-        return 0.5 if long[0] == short[0] and short[1] in long[1:] and len(long) > 3 else None
+        return 5 if long[0] == short[0] and short[1] in long[1:] and len(long) > 3 else None
     if len(short) >= 3 and len(long) - len(short) >= 2 and long.startswith(short):
-        return 0.6
+        return 6
     if len(short) < 4:
-        return 1.0 if len(short) == 3 and near(x, y) is not None and x[0] == y[0] else None
+        return 10 if len(short) == 3 and near(x, y) is not None and x[0] == y[0] else None
     found = near(x, y, 2 if len(short) >= 6 else 1)
     if found == 2 and len(x) == len(y) and sum(c != d for c, d in zip(x, y)) == 2:
         return None  # two other letters make another name more often than two slips
-    return None if found is None else float(found)
+    return None if found is None else 10 * found
+
 
+def assign(xs: tuple[str, ...], ys: tuple[str, ...]) -> int | None:
+    """The least total cost, in tenths, of an assignment of all tokens of the two sides, None if there is none.
 
-def assign(xs: tuple[str, ...], ys: tuple[str, ...]) -> float | None:
-    """The least total cost of an assignment of all tokens of the two sides, None if there is none."""
+    Equal tokens start as partners; each other token then takes the cheapest way to a free one, on which
+    partners may change: K. Kumar and Kiran K. agree only if neither k stays with the other.
+    """
     if len(xs) != len(ys):
         return None
-    rest_x, rest_y = list(xs), list(ys)
-    for w in xs:
-        if w in rest_y:
-            rest_x.remove(w)
-            rest_y.remove(w)
-    n = len(rest_x)
-    if n > 7:  # tokens that differ cost 0.4 at least, and no total above 3 is accepted
+    place: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        place.setdefault(y, []).append(j)
+    own = {i: place[x].pop() for i, x in enumerate(xs) if place.get(x)}  # by left token its right one
+    if len(xs) - len(own) > 7:  # tokens that differ cost 4 at least, and no total above 30 is accepted
         return None
-    best: dict[int, float] = {0: 0.0}  # by the set of taken right tokens
-    for x in rest_x:
-        now: dict[int, float] = {}
-        for taken, cost in best.items():
-            for j, y in enumerate(rest_y):
-                if not taken >> j & 1 and (c := token_cost(x, y)) is not None:
-                    key = taken | 1 << j
-                    if cost + c < now.get(key, 1e9):
-                        now[key] = cost + c
-        best = now
-    return best.get((1 << n) - 1)
+    taken = {j: i for i, j in own.items()}
+    total = 0
+    for i in [k for k in range(len(xs)) if k not in own]:
+        left, right, via, open_ = {i: 0}, {}, {}, [i]
+        while open_:
+            u = open_.pop(0)
+            for j, y in enumerate(ys):
+                if own.get(u) != j and (c := token_cost(xs[u], y)) is not None and left[u] + c < right.get(j, 1_000_000):
+                    right[j], via[j] = left[u] + c, u
+                    v = taken.get(j)
+                    if v is not None and right[j] - token_cost(xs[v], y) < left.get(v, 1_000_000):
+                        left[v] = right[j] - token_cost(xs[v], y)
+                        open_.append(v)
+        j = min((k for k in right if k not in taken), key=right.__getitem__, default=None)
+        if j is None:
+            return None
+        total += right[j]
+        while j is not None:
+            u = via[j]
+            j_before = own.get(u)
+            own[u], taken[j] = j, u
+            j = j_before
+    return total
 
 
-def _most(n: int) -> float:
-    """The total cost that n tokens may have: two spellings of one thing may both be wrong."""
-    return 2.0 if n <= 2 else 3.0
+def _most(n: int) -> int:
+    """The total cost, in tenths, that n tokens may have: two spellings of one thing may both be wrong."""
+    return 20 if n <= 2 else 30
 
 
 def match(field: str, x: Form, y: Form) -> bool:
@@ -265,7 +280,7 @@ def match(field: str, x: Form, y: Form) -> bool:
         return cost <= _most(len(x.a))
     if field == "act_name" and abs(len(x.a) - len(y.a)) == 1 and min(len(x.a), len(y.a)) >= 2 and len(x.tag) == len(y.tag) == 4:
         long, short = (x.a, y.a) if len(x.a) > len(y.a) else (y.a, x.a)
-        return any((c := assign(long[:i] + long[i + 1 :], short)) is not None and c <= 1 for i in range(len(long)))
+        return any((c := assign(long[:i] + long[i + 1 :], short)) is not None and c <= 10 for i in range(len(long)))
     return False
 
 
@@ -453,7 +468,14 @@ def _met(forms: DataFrame, hot: int) -> DataFrame:
     evidence = settle(evidence, "evidence")
     away = F.when(F.col("own"), 0).otherwise(1).cast("long")
     rank = F.concat(F.when(F.col("start"), "0").otherwise("1"), "key")
-    rows = evidence.where("start and copy = 0").select(
+    # Keys under three letters are a start only for pairs that agree in no longer one. In these no long token has a long
+    # partner, so the long tokens of both are no more than the tokens assigned (an act may leave one out).
+    long_tokens = forms.select("field_name", "form_no", "alike", F.expr("size(filter(tokens, w -> length(w) > 3))").alias("l"), F.size("tokens").alias("k"))
+    fewest = long_tokens.where("k > 0").groupBy("field_name", "alike").agg(F.min("l").alias("least"))
+    spare = F.when(F.col("field_name") == "act_name", 1).otherwise(0)
+    brief = long_tokens.join(fewest, ["field_name", "alike"]).where((F.col("l") + F.col("least") <= F.col("k") + spare) & (F.col("l") <= 8))
+    first = evidence.where("start").unionByName(evidence.where("not start").join(brief.select("form_no"), "form_no", "left_semi"))
+    rows = first.where("copy = 0").select(
         "field_name", "form_no", "alike", "many", "key", away.alias("away"), rank.alias("last"), F.array("unit").alias("used")
     )
     found, depth, others = [], 1, None

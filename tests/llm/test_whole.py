@@ -1,13 +1,16 @@
 """Operators for training data that leave no part of their job out."""
 
 import datetime
+import itertools
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry.llm import abuse, canonical, leak, queries, survivor, variants
+from lexquarry.session import settle
 
 FOLDER = "/root/testdata/sf0.001"
 ITEM = "One two three four five six seven eight nine ten eleven twelve thirteen"
@@ -27,6 +30,31 @@ def test_frequent_tokens_are_compared(spark):
     assert ("case_name", "F. Navnekr v State of Vidra", "Farida Navnekar v State of Vindra") in hot
 
 
+def test_all_forms_that_match_meet(spark):
+    fold = {"0": "K. Kumar v Sea Corp", "1": "Kiran K. v Sea Corp", "2": "R K v S M", "3": "Ram Kumar v Sita M.", "4": "State v A B C", "5": "State v Anil Bose Chand"}
+    fold |= {"6": "Farida N. v State", "7": "F. Navnekar v State", "8": "R. Kr. v Mohan", "9": "Ram Kumar v M."}
+    fold |= {"a": "Ab Cd Ef Ramk Sitk Tarak v Qureshi", "b": "A C E Ramkrish Sitkumar Tarakeshwar v Qureshi"}
+    rows = [("case_name", n) for n in fold.values()] + [("court", n) for n in ("R K M Bench", "Rohan Kota M Bench", "R K Z", "Rohan Kota Zed")]
+    rows += [("act_name", n) for n in ("B C Act, 1989", "Bose Chand Act, 1989", "Bose Chand D Act, 1989", "B Chand E Act, 1989")]
+    frame = spark.createDataFrame(rows, "field_name string, name string")
+    parsed = variants._parsed(frame).withColumn("form_no", F.monotonically_increasing_id())
+    forms = [(f, variants.parse(f, n)) for f, n in rows]
+    want = {(f, *sorted((x.key, y.key))) for f, x in forms for g, y in forms if f == g and x != y and variants.match(f, x, y)}
+    assert all(variants.match("case_name", *(variants.parse("case_name", fold[k]) for k in p)) for p in ("01", "10", "23", "45", "67", "89", "ab", "ba"))
+    for hot in (1, variants.HOT):
+        got = variants._verified(variants._met(settle(parsed, "forms"), hot)).collect()
+        assert {(r.field_name, *sorted((r.x, r.y))) for r in got} == want
+
+
+def test_tokens_are_assigned_at_least_cost():
+    words = ["k", "kr", "kumar", "kuma", "kiran", "kirann", "r", "ram", "ramesh", "rumesh", "kumra"]
+    draw = random.Random(7)
+    for _ in range(400):
+        xs, ys = (tuple(draw.choices(words, k=4)) for _ in range(2))
+        costs = [[variants.token_cost(x, y) for x, y in zip(xs, p)] for p in itertools.permutations(ys)]
+        assert variants.assign(xs, ys) == min((sum(c) for c in costs if None not in c), default=None), (xs, ys)
+
+
 def test_tokens_meet_by_the_index():
     words = ["navnekar", "navnekr", "navenkar", "nvnekra", "farida", "fari", "f", "fr", "vindra", "vidra", "ram", "rama", "abcdefghijklmnopqrstuvwxyz", "bacdefghijklmnopqrstuvwxzy", "abcdefghijklmnopqrstuvwx"]
     words += [w + v for w in ("anticonstitution", "ramachandrasekharap") for v in ("", "lly", "al", "la", "aly")] + ["acdbefghijklmnopqrstuv", "abcdefghijklmnopqrstuvw"]
