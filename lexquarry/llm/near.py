@@ -13,10 +13,12 @@ records is exactly c. Count filtering keeps it small and loses nothing:
   there. Records that differ in d words differ in d positions at most, so the equal positions of near
   copies are tallied and must reach BITS - (m + n - 2 need).
 
-What passes is verified on the whole vectors. Lists of frequent words are cut into cells of bounded
-size that are compared one against one; a word outside the ordered ones counts as often as the rarest
-of them, which is its bound. Equal texts, told apart by 128-bit hashes, are one record with a number
-of its own until the end; words within a vector are told apart by 64-bit hashes.
+What passes is verified on the whole vectors. Lists of frequent words are cut into cells by length: a
+record stands in the cell of its own length and, as the shorter, in those of the lengths that its place
+leaves to partners. Frequent words are late in the order, so these are few however long the list is. Only
+the longest lists are cut by random parts too. A word outside the ordered ones counts as often as the
+rarest of them, which is its bound. Equal texts, told apart by 128-bit hashes, are one record with a number
+of its own until the end; ordered words are told apart by their place, others within a vector by 64-bit hashes.
 
 Defined results. Null text: no record. Texts under ``least`` words pair with none. Empty tables give
 no rows. A record delivered again with the same text is one record. Very long texts are compared
@@ -45,10 +47,14 @@ _WORD = re.compile(r"[^\W_]+")
 #: Positions of a signature, 64 in each of its columns.
 BITS = 128
 _SIGNS = [f"s{j}" for j in range(BITS // 64)]
-#: Lists of words that occur more often than this are cut into cells.
-CELL = 16_384
+#: Lists of words that occur more often than this are cut into cells: one more for each doubling of the length
+#: whenever they occur as often again, up to ``_STEPS``, and by random parts beyond each ``_PART`` times.
+CELL = 65_536
+_STEPS, _PART = 8, 128
 #: The words whose order is by measured frequency; all rarer ones come before them, by hash.
 ORDERED_WORDS = 20_000
+#: Occurrences of an ordered word in one text that its number can tell; those beyond are held as rare words are.
+_TIMES = 65_536
 #: Lists up to this size are compared all at one time, longer ones in blocks of so many by so many rows.
 _FEW = 48
 _BLOCK, _SPAN = 16, 4096
@@ -87,17 +93,15 @@ def _need(m, n, t: float):
 
 
 class _Codes(dict):
-    """Numbers of the words seen, with the place in the order, hash and cells of each."""
+    """Numbers of the words seen, with the place in the order and hash of each."""
 
-    def __init__(self, places: dict[str, tuple[int, int]], cells: int):
-        self.places, self.cells = places, cells
-        self.place, self.hash, self.many = array("q"), array("Q"), array("i")
+    def __init__(self, places: dict[str, int]):
+        self.places = places
+        self.place, self.hash = array("q"), array("Q")
 
     def __missing__(self, word: str) -> int:
-        place, cells = self.places.get(word, (0, self.cells))
-        self.place.append(place)
+        self.place.append(self.places.get(word, 0))
         self.hash.append(xxhash.xxh3_64_intdigest(word))
-        self.many.append(cells)
         code = self[word] = len(self)
         return code
 
@@ -115,19 +119,20 @@ def _index_order(record: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> n
     return np.lexsort((hashes, place, record))
 
 
-def vectors(records: DataFrame, least: int) -> DataFrame:
-    """Of each distinct text of a table: ``rid``, its length ``m``, signature, positional bytes in index
-    order, and of each the number of cells its list is cut into."""
+def vectors(records: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
+    """Of each distinct text of a table: ``rid``, its length ``m``, signature and positional bytes in index order,
+    those of words that have no place as hashes (``rare``), then the others as ``_TIMES`` * place + step (``often``).
+    Besides, by place, how often its word fills a cell, begun ones counted."""
     spark = records.sparkSession
     common = most_frequent(word_counts(records), ORDERED_WORDS)
-    bound = -(-common[-1].n // CELL) if common else 1
-    shared = spark.sparkContext.broadcast({r.word: (len(common) - i, -(-r.n // CELL)) for i, r in enumerate(common)})
+    filled = np.array([common[-1].n if common else 1] + [r.n for r in reversed(common)])
+    shared = spark.sparkContext.broadcast({r.word: len(common) - i for i, r in enumerate(common)})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(shared.value, bound)
+        codes = _Codes(shared.value)
         for batch in batches:
             if len(codes) > _HELD:
-                codes = _Codes(shared.value, bound)
+                codes = _Codes(shared.value)
             words, keep, sizes = [], [], []
             for i, text in enumerate(batch.column(4).to_pylist()):
                 own = _words(text)
@@ -138,29 +143,37 @@ def vectors(records: DataFrame, least: int) -> DataFrame:
             if not keep:
                 continue
             code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-            place, hashes, many = (np.array(x)[code] for x in (codes.place, codes.hash, codes.many))
+            place, hashes = (np.array(x)[code] for x in (codes.place, codes.hash))
             record = np.repeat(np.arange(len(keep)), sizes)
             at = _index_order(record, place, hashes)
-            hashes, many = hashes[at], many[at]
+            hashes, place = hashes[at], place[at]
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (record[1:] != record[:-1])])
             row = np.arange(len(hashes))
-            step = (row - np.maximum.accumulate(np.where(new, row, 0))).astype(np.uint64)
-            marks = hashes + step * np.uint64(_MIX)
+            step = row - np.maximum.accumulate(np.where(new, row, 0))
+            if (beyond := (step >= _TIMES) & (place > 0)).any():
+                place = np.where(beyond, 0, place)
+                at = np.lexsort((step, hashes, place, record))
+                hashes, place, step = hashes[at], place[at], step[at]
+            marks = hashes + step.astype(np.uint64) * np.uint64(_MIX)
             where = (marks >> np.uint64(40)).astype(np.int64) % BITS
             parity = (np.bincount(record * BITS + where, minlength=len(keep) * BITS) & 1).astype(np.uint8)
             signed = np.packbits(parity).view(np.int64).reshape(len(keep), len(_SIGNS))
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            named = place > 0
+            rare, often = (
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(record[own], minlength=len(keep)))]).astype(np.int32)), pa.array(values[own]))
+                for own, values in ((~named, marks.view(np.int64)), (named, (place * _TIMES + step).astype(np.int64)))
+            )
             pick = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(j).take(pick) for j in range(4)), pa.array(sizes, pa.int32()), *(pa.array(signed[:, j]) for j in range(len(_SIGNS))),
-                 pa.ListArray.from_arrays(ends, pa.array(marks.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(many.astype(np.int32)))],
-                ["table_name", "h0", "h1", "rid", "m", *_SIGNS, "marks", "cells"],
+                 rare, often.cast(pa.list_(pa.int32()))],
+                ["table_name", "h0", "h1", "rid", "m", *_SIGNS, "rare", "often"],
             )
 
     texts = records.where("text is not null").groupBy("table_name", *_text_key()).agg(F.first("text").alias("text"))
     texts = texts.select("table_name", "h0", "h1", F.monotonically_increasing_id().alias("rid"), "text")
     signs = ", ".join(f"{s} long" for s in _SIGNS)
-    return texts.mapInArrow(build, f"table_name string, h0 long, h1 long, rid long, m int, {signs}, marks array<long>, cells array<int>")
+    return texts.mapInArrow(build, f"table_name string, h0 long, h1 long, rid long, m int, {signs}, rare array<long>, often array<int>"), -(-filled // CELL)
 
 
 def _text_key() -> list:
@@ -168,9 +181,15 @@ def _text_key() -> list:
     return [F.xxhash64("table_name", "text").alias("h0"), F.xxhash64("text", F.lit(1), "table_name").alias("h1")]
 
 
-def _postings(t: float):
+def _cell(length: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The cell of a length where ``steps`` cells make up each doubling of it; 0 for all lengths without steps."""
+    return (steps * np.log2(np.maximum(length, 1)) + 1e-9).astype(np.int64)
+
+
+def _postings(t: float, cells: np.ndarray):
     """Rows of the index: key, m, rid, place in the order and role (1 as the shorter, 2 as the longer) in one, signature."""
     widest = (2 - t) / t
+    e = int(round(t * 1000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,33 +197,52 @@ def _postings(t: float):
                 continue
             table, rid, m = batch.column(0), batch.column(1), batch.column(2).to_numpy().astype(np.int64)
             signs = [batch.column(3 + j).to_numpy() for j in range(len(_SIGNS))]
-            marks, cells = batch.column(3 + len(_SIGNS)), batch.column(4 + len(_SIGNS))
-            begin, flat, many = marks.offsets.to_numpy().astype(np.int64), marks.values.to_numpy(), cells.values.to_numpy()
+            rare, often = batch.column(3 + len(_SIGNS)), batch.column(4 + len(_SIGNS))
+            (begin_rare, flat_rare), (begin, flat) = ((c.offsets.to_numpy().astype(np.int64), c.values.to_numpy()) for c in (rare, often))
+            without = np.diff(begin_rare)
             salt = {name: xxhash.xxh3_64_intdigest(name) >> 1 for name in set(table.to_pylist())}
             salts = np.array([salt[name] for name in table.to_pylist()], np.int64)
             short = m - _need(m, m, t) + 1
             long = m - _need(np.ceil(m / widest - 1e-9), m, t) + 1
             row = np.repeat(np.arange(len(m)), long)
             place = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
-            key = flat[begin[row] + place] ^ salts[row]
-            h = many[begin[row] + place].astype(np.int64)
+            named = place >= without[row]
+            key, h = np.zeros(len(row), np.int64), np.full(len(row), cells[0])
+            key[~named] = flat_rare[(begin_rare[row] + place)[~named]]
+            word = flat[(begin[row] + place - without[row])[named]].astype(np.int64)
+            key[named] = (word.astype(np.uint64) * np.uint64(_MIX)).view(np.int64)
+            h[named] = cells[word // _TIMES]
+            key ^= salts[row]
             role = np.where(place < short[row], 3, 2)
-            one = h == 1
+            # A cut list: a cell has the records of its lengths, and as the shorter those that reach such a length.
+            steps, length = np.where(h > 1, np.minimum(h, _STEPS), 0), m[row]
+            cell = _cell(length, steps)
+            top = np.where(role & 1 > 0, np.maximum(length, (2000 * (length - place) - e * length) // e), length)
+            copies = _cell(top, steps) - cell
+            more = np.repeat(np.arange(len(row)), copies)
+            above = np.arange(len(more)) - np.repeat(np.cumsum(copies) - copies, copies) + 1
+            cell = np.concatenate([cell, cell[more] + above])
+            key, row, place, h = (np.concatenate([c, c[more]]) for c in (key, row, place, h))
+            role = np.concatenate([role, np.ones(len(more), np.int64)])
+            key = key ^ (cell.astype(np.uint64) * np.uint64(_MIX)).view(np.int64)
+            # Parts of the longest: (x, y) has the records of part x as the shorter, those of part y as the longer.
+            parts = -(-h // _PART)
+            one = parts == 1
             out = [(key[one], row[one], place[one], role[one])]
-            # A cut list: cell (x, y) has the records of part x as the shorter, those of part y as the longer.
             own = (rid.to_numpy().view(np.uint64) * np.uint64(_MIX) >> np.uint64(33)).astype(np.int64)
             for as_ in (1, 2):
-                cut = np.flatnonzero((h > 1) & (role & as_ > 0))
-                each = np.repeat(cut, h[cut])
-                other = np.arange(len(each)) - np.repeat(np.cumsum(h[cut]) - h[cut], h[cut])
-                part = own[row[each]] % h[each]
+                cut = np.flatnonzero(~one & (role & as_ > 0))
+                each = np.repeat(cut, parts[cut])
+                other = np.arange(len(each)) - np.repeat(np.cumsum(parts[cut]) - parts[cut], parts[cut])
+                part = own[row[each]] % parts[each]
                 x, y = (part, other) if as_ == 1 else (other, part)
-                mixed = (x * h[each] + y + 1).astype(np.uint64) * np.uint64(_MIX)
-                out.append((key[each] ^ mixed.view(np.int64), row[each], place[each], np.full(len(each), as_)))
+                mixed = (x * parts[each] + y + 1).astype(np.uint64) * np.uint64(_MIX)
+                out.append((key[each] ^ (mixed >> np.uint64(1)).view(np.int64), row[each], place[each], np.full(len(each), as_)))
             key, row, place, role = (np.concatenate(c) for c in zip(*out))
             pick = pa.array(row)
+            # Half a hash is enough for a key: where two lists have one, more is compared and nothing is lost.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column(2).take(pick), rid.take(pick), pa.array((4 * place + role).astype(np.int32)), *(pa.array(s[row]) for s in signs)],
+                [pa.array((key >> 32).astype(np.int32)), batch.column(2).take(pick), rid.take(pick), pa.array((4 * place + role).astype(np.int32)), *(pa.array(s[row]) for s in signs)],
                 ["key", "m", "rid", "rest", *_SIGNS],
             )
 
@@ -281,60 +319,75 @@ def _meet(t: float):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None  # the list that the last batch ended in
+        rest: list[list[np.ndarray]] = []  # the list that the last batches ended in
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(now[0]):
                 continue
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            rest.append(now)
+            if rest[0][0][0] == now[0][-1]:
+                continue
+            now = [np.concatenate(x) for x in zip(*rest)]
             open_ = int(np.searchsorted(now[0], now[0][-1], "left"))
-            if open_:
-                yield from pairs([c[:open_] for c in now])
-            rest = [c[open_:].copy() for c in now]
-        if rest is not None:
-            yield from pairs(rest)
+            yield from pairs([c[:open_] for c in now])
+            rest = [[c[open_:].copy() for c in now]]
+        if rest:
+            yield from pairs([np.concatenate(x) for x in zip(*rest)])
 
     return run
 
 
-def similar_texts(held: DataFrame, t: float) -> DataFrame:
+def similar_texts(held: DataFrame, cells: np.ndarray, t: float) -> DataFrame:
     """Pairs (a, b) of rids of different texts of one table with 2c >= t(m + n)."""
     signs = ", ".join(f"{s} long" for s in _SIGNS)
-    index = held.select("table_name", "rid", "m", *_SIGNS, "marks", "cells").mapInArrow(_postings(t), f"key long, m int, rid long, rest int, {signs}")
+    index = held.select("table_name", "rid", "m", *_SIGNS, "rare", "often").mapInArrow(_postings(t, cells), f"key int, m int, rid long, rest int, {signs}")
     lists = index.repartition("key").sortWithinPartitions("key", "m", "rid")
     pairs = lists.mapInArrow(_meet(t), "a long, b long").distinct()
-    whole = held.select("rid", "m", "marks").repartition("rid")  # one exchange for both sides
-    left = whole.select(F.col("rid").alias("a"), "m", F.col("marks").alias("x"))
-    right = whole.select(F.col("rid").alias("b"), F.col("m").alias("n"), F.col("marks").alias("y"))
-    enough = F.expr(f"2000 * size(array_intersect(x, y)) >= {int(round(t * 1000))} * (m + n)")
+    whole = held.select("rid", "m", "rare", "often").repartition("rid")  # one exchange for both sides
+    left = whole.select(F.col("rid").alias("a"), "m", F.col("rare").alias("x0"), F.col("often").alias("x1"))
+    right = whole.select(F.col("rid").alias("b"), F.col("m").alias("n"), F.col("rare").alias("y0"), F.col("often").alias("y1"))
+    enough = F.expr(f"2000 * (size(array_intersect(x0, y0)) + size(array_intersect(x1, y1))) >= {int(round(t * 1000))} * (m + n)")
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def _texts(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _texts(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     records = records.select(*(F.col(c).cast("string").alias(c) for c in ("table_name", "id", "text"))).where("id is not null and text is not null")
-    held = settle(vectors(records, least), "vectors")
-    members = records.select("table_name", "id", *_text_key()).distinct().join(held.select("h0", "h1", "rid"), ["h0", "h1"])
-    return members.select("table_name", "id", "rid"), held
+    held, cells = vectors(records, least)
+    held = settle(held, "vectors")
+    members = records.select("table_name", "id", *_text_key()).join(held.select("h0", "h1", "rid"), ["h0", "h1"])
+    members = members.groupBy("table_name", "id").agg(F.collect_set("rid").alias("rids"))
+    return members.select("table_name", "id", F.explode("rids").alias("rid"), (F.size("rids") > 1).alias("several")), held, cells
 
 
 def near_pairs(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame:
     """All pairs of ids of near copies, the smaller id first, copies with equal texts among them."""
-    members, held = _texts(records, least)
-    members = settle(members, "members")
-    links = settle(similar_texts(held, t), "links")
-    a = members.select(F.col("rid").alias("a"), "table_name", F.col("id").alias("i"))
-    b = members.select(F.col("rid").alias("b"), F.col("id").alias("j"))
-    other = links.join(a, "a").join(b, "b").where("i <> j")
-    same = a.join(b.withColumnRenamed("b", "a"), "a").where("i < j")
-    found = other.select("table_name", "i", "j").unionByName(same.select("table_name", "i", "j"))
-    return found.select("table_name", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+    members, held, cells = _texts(records, least)
+    members = settle(members, "members").where("table_name is not null and id is not null and rid is not null")
+    links = settle(similar_texts(held, cells, t), "links")
+
+    # Both sides of a join have the same columns and filters, so that an exchange of ids serves all joins.
+    left = lambda x: x.select(F.col("rid").alias("a"), "table_name", F.col("id").alias("i"))
+    right = lambda y: y.select(F.col("rid").alias("b"), F.col("table_name").alias("table"), F.col("id").alias("j"))
+
+    def linked(x: DataFrame, y: DataFrame) -> DataFrame:
+        return links.join(left(x), "a").join(right(y), "b").where("table = table_name").select("table_name", "i", "j")
+
+    def equal(x: DataFrame, y: DataFrame) -> DataFrame:
+        return left(x).join(right(y), F.expr("a = b")).where("table = table_name").select("table_name", "i", "j")
+
+    # Only ids with several texts can meet more than once; the pairs of all others need no exchange to be distinct.
+    once, several = members.where("not several"), members.where("several")
+    found = linked(once, once).unionByName(equal(once, once).where("i < j"))
+    again = linked(several, members).unionByName(linked(once, several)).unionByName(equal(several, members)).where("i <> j")
+    named = lambda c: c.select("table_name", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+    return named(found).unionByName(named(again).distinct())
 
 
 def near_groups(records: DataFrame, t: float = 0.8, least: int = 20) -> DataFrame:
     """Each record of ``least`` words with its group, named by the least id in it, and the number of
     other texts its own is linked with."""
-    members, held = _texts(records, least)
-    links = settle(similar_texts(held, t), "links")
+    members, held, cells = _texts(records, least)
+    links = settle(similar_texts(held, cells, t), "links")
     grouped = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
     joined = members.join(degree, "rid", "left").join(grouped.withColumnRenamed("node", "rid"), "rid", "left")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexquarry.llm import abuse, canonical, leak, queries, survivor, variants
+from lexquarry.llm import abuse, canonical, leak, near, queries, survivor, variants
 from lexquarry.session import settle
 
 FOLDER = "/root/testdata/sf0.001"
@@ -55,6 +55,33 @@ def test_tokens_are_assigned_at_least_cost():
         assert variants.assign(xs, ys) == min((sum(c) for c in costs if None not in c), default=None), (xs, ys)
 
 
+def test_near_lists_are_cut_without_many_copies(spark, monkeypatch):
+    # 40 texts of one frequent vocabulary, lengths 20 to 59, and a copy of each with a word more
+    words = [f"w{k}" for k in range(90)]
+    draw = random.Random(5)
+    texts = [draw.sample(words, 20 + k) for k in range(40)]
+    texts += [w + ["more"] for w in texts]
+    bags = [Counter(w) for w in texts]
+    want = {tuple(sorted((f"{i}", f"{j}"))) for i, x in enumerate(bags) for j, y in enumerate(bags[:i]) if 10 * (x & y).total() >= 4 * (x.total() + y.total())}
+    rows = [("t", f"{k}", " ".join(w)) for k, w in enumerate(texts)] + [("t", "0", " ".join(texts[7])), ("t", "twin", " ".join(texts[0])), ("t", "twin", " ".join(texts[7]))]
+    for cell, part, most in ((10**6, 128, 1), (4, 128, 3), (1, 128, 3), (4, 3, 99)):
+        monkeypatch.setattr(near, "CELL", cell)
+        monkeypatch.setattr(near, "_PART", part)
+        frame = spark.createDataFrame(rows[:80], "table_name string, id string, text string")
+        got = [(r.id_a, r.id_b) for r in near.near_pairs(frame).collect()]
+        assert len(got) == len(want) and set(got) == want
+        held, cells = near.vectors(frame, 20)
+        batches = held.select("table_name", "rid", "m", *near._SIGNS, "rare", "often").toArrow().to_batches()
+        posted = sum(b.num_rows for b in near._postings(0.8, cells)(iter(batches)))
+        whole = posted if cell == 10**6 else whole
+        assert posted <= most * whole, (cell, posted, whole)
+    monkeypatch.setattr(near, "_TIMES", 1)  # ordered words that stand in a text more often are held as rare ones
+    monkeypatch.setattr(near, "_PART", 128)
+    rows += [("t", "more", " ".join(texts[9] + texts[9][:20])), ("t", "yet more", " ".join(texts[9] + texts[9][1:20]))]
+    got = [(r.id_a, r.id_b) for r in near.near_pairs(spark.createDataFrame(rows, "table_name string, id string, text string")).collect()]
+    assert len(got) == len(set(got)) and want < set(got) and {("0", "twin"), ("7", "twin"), ("0", "7"), ("0", "47"), ("more", "yet more")} <= set(got) and ("9", "more") not in set(got)
+
+
 def test_tokens_meet_by_the_index():
     words = ["navnekar", "navnekr", "navenkar", "nvnekra", "farida", "fari", "f", "fr", "vindra", "vidra", "ram", "rama", "abcdefghijklmnopqrstuvwxyz", "bacdefghijklmnopqrstuvwxzy", "abcdefghijklmnopqrstuvwx"]
     words += [w + v for w in ("anticonstitution", "ramachandrasekharap") for v in ("", "lly", "al", "la", "aly")] + ["acdbefghijklmnopqrstuv", "abcdefghijklmnopqrstuvw"]
